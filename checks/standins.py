@@ -114,6 +114,20 @@ STANDINS = {
           cast(null as varchar(5)) as description_5, cast(null as varchar(5)) as description_6,
           cast(null as varchar(5)) as description_7
         from {part} where p_size <= 17""",
+    # Documents with the things the text normalisation takes away.
+    "messy": """
+        select doc_id, '--- BEGIN REPORT ---' || chr(10) || '*** HEAD *** ' || chr(13) || chr(10)
+          || '* ' || replace(text, '. ', '.' || chr(13) || chr(10) || ' 1) ') || chr(9) || '  × → '
+          || chr(10) || ' ' || chr(10) || chr(9) || chr(10) || chr(10) || '- ' || chr(10)
+          || '• last — line' || chr(13) || '2.  end' || chr(10) || '--- end of REPORT ---' || chr(10)
+          as text
+        from {documents}""",
+    # Documents under the headers of a report.
+    "headed": """
+        select doc_id, 'EXAME: ' || source || chr(10) || 'indicação : ' || lang || chr(10)
+          || chr(10) || 'ACHADOS:' || chr(10) || text || chr(10) || 'Impressão: ' || source || ' '
+          || lang || '.' as text
+        from {documents}""",
     # One extraction per conversation turn; the conversation is the report.
     "extraction": """
         select conv_id as doc_id, turn as pos, text as extraction_text,

@@ -40,14 +40,16 @@ def structure_texts(
     reports: DataFrame,
     extractor: Extractor = rule_extractor,
     repair: bool = True,
+    clean: bool = True,
     examination_labels=EXAMINATION_LABELS,
 ) -> DataFrame:
     """Cleaned text, extractions, error, segments, JSON documents and formatted text.
 
     A text that is empty after cleaning, or that the extractor fails on, is kept with
-    its error.
+    its error. ``clean`` False takes texts that are cleaned already.
     """
-    cleaned = reports.withColumn("clean_text", preprocess_report("report_text", repair))
+    text = preprocess_report("report_text", repair) if clean else F.col("report_text")
+    cleaned = reports.withColumn("clean_text", text)
     found = cleaned.withColumn("__found", extractor(F.col("clean_text")))
     empty = ~non_blank("clean_text")
     split = found.select(
