@@ -36,6 +36,9 @@ def local_session(cores: str = "*", app: str = "reportlake", **extra: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; every executor must be able to reach it."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if not folder:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = chosen.get() if chosen.isDefined() else None
     if not folder:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
     return folder.rstrip("/")
