@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportlake.functions.scalars import BLANKS, ColumnOrName, _col, strip
+from reportlake.functions.scalars import BLANKS, ColumnOrName, _col, bind, strip
 
 # Symbols and what replaces them.
 SYMBOLS = {
@@ -59,12 +59,16 @@ def _covering_class(chars) -> str:
 
 def _replace_all(text: Column, table: dict[str, str]) -> Column:
     """Every character of the table by its text; rows clearly without any are left alone."""
-    single = {k: v for k, v in table.items() if len(v) == 1}
-    out = F.translate(text, "".join(single), "".join(single.values()))
-    for symbol, words in table.items():
-        if len(words) > 1:
-            out = F.replace(out, F.lit(symbol), F.lit(words))
-    return F.when(text.rlike(_covering_class(table)), out).otherwise(text)
+
+    def replaced(value: Column) -> Column:
+        single = {k: v for k, v in table.items() if len(v) == 1}
+        out = F.translate(value, "".join(single), "".join(single.values()))
+        for symbol, words in table.items():
+            if len(words) > 1:
+                out = F.replace(out, F.lit(symbol), F.lit(words))
+        return F.when(value.rlike(_covering_class(table)), out).otherwise(value)
+
+    return bind(text, replaced)
 
 
 def replace_symbols(text: ColumnOrName) -> Column:
@@ -187,6 +191,10 @@ def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+# Marked so that Spark calls it once per row instead of copying it to where it is used.
+_repair = _repair.asNondeterministic()
+
+
 def repair_unicode(text: ColumnOrName) -> Column:
     """HTML entities, mojibake, ligatures, widths, quotes, line breaks, controls, NFC."""
     raw = _col(text)

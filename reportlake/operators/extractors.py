@@ -47,14 +47,20 @@ def char_offsets(pieces: Column) -> Column:
     )
 
 
+def _chunk_pattern(budget: int, text_end: str = r"\z") -> str:
+    """At most ``budget`` characters up to a sentence or line end, else cut anywhere."""
+    return (
+        rf"(?s).{{1,{budget}}}(?:(?<=\n)|(?<=[.!?])(?=\s)|{text_end})|.{{1,{budget}}}"
+    )
+
+
 def chunks(text: Column, budget: int = CHARS_PER_CALL) -> Column:
     """array<struct<text,offset>> of at most ``budget`` characters each.
 
     A chunk ends after a sentence or a line where there is one; together the chunks are
     the whole text.
     """
-    pattern = rf"(?s).{{1,{budget}}}(?:(?<=\n)|(?<=[.!?])(?=\s)|\z)|.{{1,{budget}}}"
-    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(_chunk_pattern(budget)), F.lit(0))
     return bind(pieces, lambda p: bind(char_offsets(p), lambda starts: _placed(p, starts)))
 
 
@@ -247,18 +253,20 @@ def python_extractor(
     Intervals the function gives are relative to its chunk and are moved to the report.
     """
 
-    def one_report(parts) -> dict:
-        if parts is None or not any(p["text"].strip() for p in parts):
+    cut = re.compile(_chunk_pattern(budget, r"\Z") if budget else r"(?s).+")
+
+    def one_report(text) -> dict:
+        if text is None or not text.strip():
             return {"ok": None, "error": EMPTY_TEXT}
         try:
-            return {"ok": [e for p in parts for e in one_chunk(p)], "error": None}
+            return {"ok": [e for part in cut.finditer(text) for e in one_chunk(part)], "error": None}
         except Exception as problem:
             return {"ok": None, "error": str(problem)[:ERROR_CHARS]}
 
-    def one_chunk(part) -> list[dict]:
-        if not part["text"].strip():
+    def one_chunk(part: re.Match) -> list[dict]:
+        if not part.group().strip():
             return []
-        return [moved(found, int(part["offset"])) for found in extract(part["text"])]
+        return [moved(found, part.start()) for found in extract(part.group())]
 
     def moved(found: dict, offset: int) -> dict:
         out = {name: found.get(name) for name in _FIELDS}
@@ -271,16 +279,11 @@ def python_extractor(
         return out
 
     @F.pandas_udf(_RESULT_TYPE)
-    def run(parts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one_report(p) for p in parts], columns=["ok", "error"])
-
-    def extractor(text: Column) -> Column:
-        if budget is None:
-            whole = F.array(F.struct(text.alias("text"), F.lit(0).alias("offset")))
-            return run(F.when(text.isNotNull(), whole))
-        return run(chunks(text, budget))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one_report(t) for t in texts], columns=["ok", "error"])
 
-    return extractor
+    # Marked so that Spark calls it once per row instead of copying it to where it is used.
+    return run.asNondeterministic()
 
 
 # --- Alignment ------------------------------------------------------------------
@@ -298,23 +301,30 @@ def locate_exact(text: Column, wanted: Column) -> Column:
 
 
 def closest_span(text: str, wanted: str, threshold: float = FUZZY_THRESHOLD):
-    """The run of words most similar to ``wanted``, if similar enough."""
+    """The run of words most similar to ``wanted``, if similar enough.
+
+    Similar means sharing words; among equals the spelling decides, then the position.
+    """
     words = list(re.finditer(r"\S+", text))
-    sought = [w.lower() for w in wanted.split()]
+    sought = wanted.lower().split()
     if not words or not sought:
         return None
     size = min(len(sought), len(words))
     lowered = [w.group().lower() for w in words]
-    matcher = difflib.SequenceMatcher(autojunk=False)
-    matcher.set_seq2(sought)
-    best, best_at = threshold, None
+    by_word = difflib.SequenceMatcher(autojunk=False)
+    by_word.set_seq2(sought)
+    by_letter = difflib.SequenceMatcher(autojunk=False)
+    by_letter.set_seq2(" ".join(sought))
+    best, best_at = (threshold, 0.0), None
     for at in range(len(words) - size + 1):
-        matcher.set_seq1(lowered[at : at + size])
-        if matcher.real_quick_ratio() < best or matcher.quick_ratio() < best:
+        window = lowered[at : at + size]
+        by_word.set_seq1(window)
+        if by_word.quick_ratio() < best[0] or by_word.ratio() < best[0]:
             continue
-        ratio = matcher.ratio()
-        if ratio > best or (best_at is None and ratio >= best):
-            best, best_at = ratio, at
+        by_letter.set_seq1(" ".join(window))
+        score = (by_word.ratio(), by_letter.ratio())
+        if score > best:
+            best, best_at = score, at
     if best_at is None:
         return None
     return {"start_pos": words[best_at].start(), "end_pos": words[best_at + size - 1].end()}
@@ -330,6 +340,10 @@ def _closest_spans(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([one(t, w) for t, w in zip(texts, wanted)], dtype=object)
 
 
+# Marked so that Spark calls it once per row instead of copying it to where it is used.
+_closest_spans = _closest_spans.asNondeterministic()
+
+
 def _with_span(extraction: Column, span: Column, status: str) -> Column:
     found = extraction["char_interval"].isNull() & span.isNotNull()
     return F.struct(

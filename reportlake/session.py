@@ -54,6 +54,7 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/reportlake-{uuid.uuid4().hex}"
+        self.kept = False
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -67,7 +68,13 @@ class Staging:
         path = self._path(name)
         return path.getFileSystem(self._conf()).getContentSummary(path).getLength()
 
+    def keep(self) -> None:
+        """Leave the folder in place when the block ends."""
+        self.kept = True
+
     def drop(self) -> None:
+        if self.kept:
+            return
         path = self._path()
         path.getFileSystem(self._conf()).delete(path, True)
 

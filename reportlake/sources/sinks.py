@@ -9,6 +9,7 @@ be repeated from the staged copy or from the start.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from reportlake.schemas import REPORT_KEY, REPORT_PARTITION, REPORTS, RUN_DAILY
 from reportlake.session import Staging, staging
 from reportlake.sources.tables import conform, rename_columns, table_exists
 
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+
 
 def _by_month(df: DataFrame) -> DataFrame:
     """Rows gathered by month into file-sized tasks; a heavy month is split up."""
@@ -43,8 +46,15 @@ def append_rows(df: DataFrame, table: str) -> None:
 def replace_table(spark: SparkSession, df: DataFrame, table: str) -> None:
     """Rewrite a small table from a query that may read the table itself."""
     with staging(spark) as area:
-        kept = area.write(df, "rows")
-        kept.write.mode("overwrite").format("parquet").saveAsTable(table)
+        _swap_table(area, area.write(df, "rows").write.mode("overwrite"), table)
+
+
+def _swap_table(area: Staging, writer, table: str) -> None:
+    try:
+        writer.format("parquet").saveAsTable(table)
+    except Exception as problem:
+        area.keep()
+        raise RuntimeError(f"{table} not replaced, staged rows kept in {area.root}") from problem
 
 
 def _months(df: DataFrame) -> list[str]:
@@ -57,23 +67,40 @@ def _drop_months(spark: SparkSession, table: str, months: Sequence[str]) -> None
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({REPORT_PARTITION} = '{month}')")
 
 
-def _replace_months(spark: SparkSession, staged: DataFrame, table: str, touched: Sequence[str]) -> None:
+@contextmanager
+def _only_written_partitions(spark: SparkSession):
+    """Inserts with overwrite replace just the partitions they write to. The session
+    setting is what counts here: ``insertInto`` takes no notice of a writer option."""
+    before = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
+
+
+def _overwrite_months(spark: SparkSession, area: Staging, rows: DataFrame, table: str) -> None:
+    """The swap; when it fails half way the staged rows are all there is, so they stay."""
+    try:
+        with _only_written_partitions(spark):
+            rows.write.mode("overwrite").insertInto(table)
+    except Exception as problem:
+        area.keep()
+        raise RuntimeError(f"{table} not replaced, staged rows kept in {area.root}") from problem
+
+
+def _replace_months(
+    spark: SparkSession, area: Staging, staged: DataFrame, table: str, touched: Sequence[str]
+) -> None:
     columns = spark.read.table(table).columns
-    (
-        _by_month(staged.select(*columns))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .insertInto(table)
-    )
+    _overwrite_months(spark, area, _by_month(staged.select(*columns)), table)
     _drop_months(spark, table, sorted(set(touched) - set(_months(staged))))
     spark.catalog.refreshTable(table)
 
 
 def _small_enough(spark: SparkSession, area: Staging, name: str) -> bool:
     """Whether Spark would broadcast the staged batch, by its size on disk."""
-    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
-    )
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return area.size_in_bytes(name) <= limit
 
 
@@ -98,7 +125,7 @@ def apply_staged(spark: SparkSession, area: Staging, name: str, table: str, run_
     affected = target.filter(F.col(REPORT_PARTITION).isin(touched))
     rule = merge_daily if run_mode == RUN_DAILY else merge_all
     merged = rule(affected, source, small_source=_small_enough(spark, area, name))
-    _replace_months(spark, area.write(merged, "merged"), table, touched)
+    _replace_months(spark, area, area.write(merged, "merged"), table, touched)
 
 
 def merge_into(batch: DataFrame, table: str, run_mode: str) -> None:
@@ -123,13 +150,10 @@ def compact_reports(
         rows = rows.filter(F.col(REPORT_PARTITION).isin(list(months)))
     with staging(spark) as area:
         staged = area.write(rows, "rows")
-        (
-            _by_month(staged.select(*rows.columns))
-            .sortWithinPartitions(REPORT_PARTITION, *cluster_by)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(table)
+        clustered = _by_month(staged.select(*rows.columns)).sortWithinPartitions(
+            REPORT_PARTITION, *cluster_by
         )
+        _overwrite_months(spark, area, clustered, table)
     spark.catalog.refreshTable(table)
 
 
@@ -138,7 +162,7 @@ def rename_table_columns(spark: SparkSession, table: str, renames: dict[str, str
     partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     with staging(spark) as area:
         rows = area.write(rename_columns(spark.read.table(table), renames), "rows")
-        writer = rows.write.mode("overwrite").format("parquet")
+        writer = rows.write.mode("overwrite")
         if partitions:
             writer = writer.partitionBy(*[renames.get(p, p) for p in partitions])
-        writer.saveAsTable(table)
+        _swap_table(area, writer, table)

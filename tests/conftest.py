@@ -39,7 +39,8 @@ def database(spark):
 def plan_of():
     """Text of the physical plan of a DataFrame."""
 
-    def text(df):
-        return df._jdf.queryExecution().executedPlan().toString()
+    def text(df, brief=True):
+        explain = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+        return explain(df._jdf.queryExecution(), "simple" if brief else "formatted")
 
     return text
