@@ -116,6 +116,32 @@ def _(data: Data) -> DataFrame:
     return joined.select("modality_id", "modality").distinct()
 
 
+@query(
+    "ids_by_name",
+    WITH
+    + """select upper(description) as name_key, min(description_id) as description_id
+         from description group by 1""",
+)
+def _(data: Data) -> DataFrame:
+    return catalog.id_by_name(data.catalogue.descriptions, DESCRIPTION)
+
+
+@query(
+    "ids_by_exact_name",
+    WITH
+    + """select l.line_no, min(m.modality_id) as modality_id
+         from csv_lines l left join modality m on m.modality_name = l.modality group by 1""",
+)
+def _(data: Data) -> DataFrame:
+    ids = catalog.id_by_exact_name(data.catalogue.modalities, MODALITY)
+    return (
+        lines(data)
+        .withColumnRenamed("modality", "modality_name")
+        .join(ids, "modality_name", "left")
+        .select("line_no", "modality_id")
+    )
+
+
 @query(
     "procedures_using_description",
     WITH + f"select procedure_code from procedure_cat where 3 in ({SLOT_LIST})",
@@ -355,6 +381,18 @@ def _(data: Data) -> DataFrame:
     )
 
 
+@query(
+    "csv_preview",
+    WITH
+    + """select line_no, procedure_code, procedure_name, modality from csv_lines
+         order by line_no limit 20""",
+)
+def _(data: Data) -> DataFrame:
+    return csv_import.preview(lines(data)).select(
+        "line_no", "procedure_code", "procedure_name", "modality"
+    )
+
+
 @query(
     "csv_modalities",
     WITH + "select distinct modality from csv_lines where modality is not null order by 1",

@@ -60,6 +60,11 @@ def of_modalities(lines: DataFrame, modalities: Sequence[str] | None) -> DataFra
     return lines.filter(F.col("modality").isin(list(modalities))) if modalities else lines
 
 
+def preview(lines: DataFrame, k: int = 20) -> DataFrame:
+    """The first lines of the file."""
+    return lines.orderBy("line_no").limit(k)
+
+
 def distinct_modalities(lines: DataFrame) -> DataFrame:
     return (
         lines.select("modality").filter(F.col("modality").isNotNull()).distinct().orderBy("modality")

@@ -93,26 +93,39 @@ def performed_in_window(
     return out
 
 
-def attach_reports(
-    performed: DataFrame, encounters: DataFrame, reports: DataFrame, strict_source: bool = False
+def attach_patients(
+    performed: DataFrame, encounters: DataFrame, strict_source: bool = False
 ) -> DataFrame:
-    """Join patients and report texts onto performed procedures.
+    """One row per system that knows the encounter, or only the procedure's own system."""
+    if strict_source:
+        return performed.join(encounters, ["encounter_id", "source"])
+    return performed.drop("source").join(encounters, "encounter_id")
 
-    A row takes the source of the report it matched. By default a procedure may match
-    reports of both systems; ``strict_source`` keeps it within its own. Encounters are
-    joined first so that the report texts go through one shuffle here and no more. The
-    text's hash is taken before that, so consumers of other columns never move the text.
+
+def attach_texts(with_patient: DataFrame, reports: DataFrame) -> DataFrame:
+    """The usable report texts of the rows.
+
+    The text's hash is taken below the join, so consumers of other columns never move
+    the text itself.
     """
-    if strict_source:
-        with_patient = performed.join(encounters, ["encounter_id", "source"])
-    else:
-        with_patient = performed.drop("source").join(encounters, "encounter_id")
     texts = reports.filter(non_blank("report_text")).withColumn(
         TEXT_HASH, F.xxhash64("report_text")
     )
     return with_patient.join(texts, ["encounter_id", "occurrence_no", "order_no", "source"])
 
 
+def attach_reports(
+    performed: DataFrame, encounters: DataFrame, reports: DataFrame, strict_source: bool = False
+) -> DataFrame:
+    """Join patients and report texts onto performed procedures.
+
+    A row takes the source of the report it matched. By default a procedure may match
+    reports of both systems; ``strict_source`` keeps it within its own. The patients come
+    first, so that the report texts go through one shuffle here and no more.
+    """
+    return attach_texts(attach_patients(performed, encounters, strict_source), reports)
+
+
 def to_report_rows(joined: DataFrame, strict_key: bool = False) -> DataFrame:
     """Key, timestamp and partition month; helper columns go."""
     separator = "-" if strict_key else ""

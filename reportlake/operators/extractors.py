@@ -113,10 +113,12 @@ _SENTENCE_END = r"(?<=[.!?])(?=\s)|(?<=\n)"
 
 
 def _first_matching(lowered: Column, patterns: dict[str, str], default: str) -> Column:
-    out = F.lit(default)
+    """Label of the first pattern found. One search for any of them comes first, as most
+    texts have none."""
+    labelled = F.lit(default)
     for label, pattern in reversed(patterns.items()):
-        out = F.when(lowered.rlike(pattern), label).otherwise(out)
-    return out
+        labelled = F.when(lowered.rlike(pattern), label).otherwise(labelled)
+    return F.when(lowered.rlike("|".join(patterns.values())), labelled).otherwise(default)
 
 
 def _header_lookup(word: Column, part: int) -> Column:

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.operators.extract import (
     active_codes,
-    extract_reports,
+    attach_patients,
+    attach_texts,
     one_per_accession,
     performed_in_window,
     processing_window,
     stamp,
+    to_report_rows,
 )
 from reportlake.schemas import JOB_METRICS, RUN_DAILY
-from reportlake.session import staging
+from reportlake.session import Staging, staging
 from reportlake.sources.sinks import append_rows, compact_reports, apply_staged
 from reportlake.sources.systems import SourceTables, check_run_mode
 
@@ -26,6 +28,22 @@ NOTHING_PERFORMED = "no procedure performed in the window"
 NO_REPORTS = "no report found in the window"
 
 
+def window_rows(
+    area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
+) -> tuple[DataFrame, DataFrame]:
+    """The performed procedures of a window, and the report rows they lead to.
+
+    The narrow rows are staged before they meet the report texts. Their size is then
+    known when that join is planned: a day or a week of them is sent to the texts, and
+    the texts, which have no date to filter on, are scanned but not shuffled.
+    """
+    performed = area.write(performed_in_window(tables.performed, codes, *window), "performed")
+    if performed.isEmpty():
+        return performed, performed.limit(0)
+    with_patient = area.write(attach_patients(performed, tables.encounters), "with_patient")
+    return performed, to_report_rows(attach_texts(with_patient, tables.reports))
+
+
 @dataclass(frozen=True)
 class RunOutcome:
     """What a run did; ``metrics`` is None when it ended early."""
@@ -57,13 +75,11 @@ def run_daily(
     active = codes.count()
     if not active:
         return RunOutcome(NO_PROCEDURES, window)
-    performed = performed_in_window(tables.performed, codes, *window)
-    performed_rows = performed.count()
-    if not performed_rows:
-        return RunOutcome(NOTHING_PERFORMED, window)
-
-    rows = extract_reports(performed, tables.encounters, tables.reports, codes=None)
     with staging(spark) as area:
+        performed, rows = window_rows(area, tables, codes, window)
+        performed_rows = performed.count()
+        if not performed_rows:
+            return RunOutcome(NOTHING_PERFORMED, window)
         batch = area.write(stamp(one_per_accession(rows), mode), "extracted")
         loaded = batch.count()
         if not loaded:
