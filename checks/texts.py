@@ -392,7 +392,7 @@ def _header_case(part: int) -> str:
 
 def _first_matching_sql(patterns: dict[str, str], default: str) -> str:
     whens = " ".join(
-        f"when regexp_matches(lower(piece), '{pattern}') then '{label}'"
+        f"when regexp_matches(lower(piece), '{extractors.at_word_start(pattern)}') then '{label}'"
         for label, pattern in patterns.items()
     )
     return f"case {whens} else '{default}' end"

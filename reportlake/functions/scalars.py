@@ -74,7 +74,7 @@ def weekday_name(day_number: Column) -> Column:
 
 
 def non_blank(text: ColumnOrName) -> Column:
-    return F.coalesce(_col(text).rlike(rf"(?U)[^{BLANKS}]"), F.lit(False))
+    return F.coalesce(lstrip(text) != "", F.lit(False))
 
 
 def strip(text: ColumnOrName) -> Column:

@@ -112,13 +112,19 @@ _HEADER_AT_START = rf"(?iu)\A[ \t]*({_HEADER_WORDS})[ \t]*:[{BLANKS}]*"
 _SENTENCE_END = r"(?<=[.!?])(?=\s)|(?<=\n)"
 
 
+def at_word_start(pattern: str) -> str:
+    """The pattern where a word of a lower-cased text begins."""
+    return rf"(?:^|[^a-zà-ÿ])(?:{pattern})"
+
+
 def _first_matching(lowered: Column, patterns: dict[str, str], default: str) -> Column:
     """Label of the first pattern found. One search for any of them comes first, as most
     texts have none."""
     labelled = F.lit(default)
     for label, pattern in reversed(patterns.items()):
-        labelled = F.when(lowered.rlike(pattern), label).otherwise(labelled)
-    return F.when(lowered.rlike("|".join(patterns.values())), labelled).otherwise(default)
+        labelled = F.when(lowered.rlike(at_word_start(pattern)), label).otherwise(labelled)
+    any_of_them = at_word_start("|".join(patterns.values()))
+    return F.when(lowered.rlike(any_of_them), labelled).otherwise(default)
 
 
 def _header_lookup(word: Column, part: int) -> Column:

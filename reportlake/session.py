@@ -58,7 +58,7 @@ class Staging:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("error").parquet(path)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema: StructType) -> DataFrame:

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportlake import schemas
-from reportlake.operators.extract import one_per_accession
+from reportlake.operators.extract import active_codes, extract_reports, one_per_accession
 from reportlake.plans import backfill, daily, monitoring, structuring
 from reportlake.schemas import RUN_DAILY, RUN_REPROCESS
+from reportlake.session import staging
 from reportlake.sources import systems, tables
 from reportlake.sources.systems import JdbcSystem, SnapshotSystem, SourceTables
 
@@ -60,6 +61,43 @@ def test_daily_run(spark, database, sources, procedures, modes):
     assert monitoring.duplicate_keys(spark.read.table(table)).isEmpty()
 
 
+def test_a_small_window_is_sent_to_the_texts(spark, sources, procedures, plan_of):
+    with staging(spark) as area:
+        codes = active_codes(procedures)
+        window = (date(2024, 1, 3), date(2024, 1, 5))
+        performed, rows = daily.window_rows(area, sources, codes, window)
+        plan = plan_of(rows)
+        assert "BroadcastHashJoin" in plan and "BuildLeft" in plan
+        assert "hashpartitioning" not in plan
+        assert {r.procedure_code for r in performed.collect()} <= {0, 1, 2}
+
+
+def test_one_key_on_a_third_of_the_rows(spark):
+    """Hot procedure, hot accession number and hot patient at once; nothing is lost."""
+    n = 3000
+    ids = spark.range(n)
+    hot = F.col("id") % 3 == 0
+    performed = ids.select(
+        F.when(hot, 1).otherwise(F.col("id") + 2).alias("encounter_id"),
+        F.lit(1).cast("bigint").alias("occurrence_no"),
+        F.lit(2).cast("bigint").alias("order_no"),
+        F.when(hot, 0).otherwise(F.col("id") % 3).cast("bigint").alias("procedure_code"),
+        F.lit("2024-01-01").cast("date").alias("performed_date"),
+        F.col("id").cast("string").alias("performed_seconds"),
+        F.lit("HSP").alias("source"),
+    )
+    keys = performed.select("encounter_id", "occurrence_no", "order_no", "source").distinct()
+    encounters = keys.select("encounter_id", F.lit(7).cast("bigint").alias("patient_id"), "source")
+    texts = keys.withColumn("report_text", F.lit("text"))
+    rows = extract_reports(performed, encounters, texts, None)
+    assert rows.count() == n
+    kept = one_per_accession(rows)
+    assert kept.count() == keys.count() == 1 + n - n // 3
+    assert monitoring.duplicate_keys(rows).collect()[0].rows == n // 3
+    top = monitoring.top_codes(rows, 1).first()
+    assert (top.procedure_code, top.rows) == (0, n // 3)
+
+
 def test_daily_run_ends_early(spark, database, sources, procedures, modes):
     def run(procs, **options):
         return daily.run_daily(spark, sources, procs, modes, f"{database}.reports", **options).status
