@@ -55,9 +55,9 @@ STEPS = {
 }
 
 
-def _chain(names: list[str], column: str) -> str:
+def _chain(names: list[str], column: str, table: str = "messy") -> str:
     """The steps' SQL applied one after the other, as nested subqueries."""
-    source = f"select doc_id, {column} as text from messy"
+    source = f"select doc_id, {column} as text from {table}"
     for name in names:
         source = f"select doc_id, {STEPS[name][1]} as text from ({source})"
     return source
@@ -398,10 +398,9 @@ def _first_matching_sql(patterns: dict[str, str], default: str) -> str:
     return f"case {whens} else '{default}' end"
 
 
-RULE_SPANS = (
-    HEADED
-    + rf""", marked as (select doc_id, string_split(regexp_replace(text,
-        '(?mi)^[ \t]*(?:{_WORDS})[ \t]*:', chr(1) || '\0', 'g'), chr(1)) as sections from headed),
+def _rule_spans_sql(table: str) -> str:
+    return rf""", marked as (select doc_id, string_split(regexp_replace(text,
+        '(?mi)^[ \t]*(?:{_WORDS})[ \t]*:', chr(1) || '\0', 'g'), chr(1)) as sections from {table}),
   section as (select doc_id, unnest(range(len(sections))) as n, sections from marked),
   placed as (select doc_id, n, sections[n + 1] as section, coalesce(sum(length(sections[n + 1]))
       over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)
@@ -427,10 +426,13 @@ RULE_SPANS = (
       {_first_matching_sql(extractors.ORGANS, extractors.OTHER_ORGAN)},
       {_first_matching_sql(extractors.FINDING_WORDS, 'not_applicable')} from body),
   found as (select doc_id, {STRIP.format('piece')} as content, class, section, finding,
-      start + length(piece) - length(regexp_replace(piece, '^\s+', '')) as start_pos, n, m
+      (start + length(piece) - length(regexp_replace(piece, '^\s+', '')))::bigint as start_pos,
+      n, m
     from spans)
 """
-)
+
+
+RULE_SPANS = HEADED + _rule_spans_sql("headed")
 
 
 def headed(data: Data) -> DataFrame:
@@ -532,10 +534,8 @@ def _(data: Data) -> DataFrame:
     return select_reports(as_reports(data), "2000-03-01", "2000-09-01", 100)
 
 
-@query(
-    "structured_texts",
-    RULE_SPANS
-    + rf""", segment as (select doc_id, content, n * 1000000 + m as pos,
+SECTIONS = r""", segment as (select doc_id, content, n * 1000000 + m as pos, finding,
+      start_pos, start_pos + length(content) as end_pos,
       case class when 'findings_prefix' then 'prefix' when 'findings_body' then 'body'
         else 'suffix' end as type,
       coalesce(section, case class when 'findings_suffix' then 'suffix' end) as label
@@ -550,17 +550,49 @@ def _(data: Data) -> DataFrame:
       array_to_string(list(label || ': ' || array_to_string(contents, ' ') || chr(10)
         order by first) filter (type = 'body'), chr(10)) as body,
       array_to_string(flatten(list(contents order by first) filter (type = 'suffix')), chr(10))
-        as suffix from grouped group by 1)
-  select doc_id::varchar as accession_number, prefix || chr(10) || chr(10) || 'FINDINGS:' || chr(10)
+        as suffix from grouped group by 1),
+  formatted as (select doc_id, prefix || chr(10) || chr(10) || 'FINDINGS:' || chr(10)
       || chr(10) || body || chr(10) || 'IMPRESSION:' || chr(10) || chr(10) || suffix
-      as formatted_text from sections""",
+      as formatted_text from sections)
+"""
+
+
+@query(
+    "structured_texts",
+    RULE_SPANS
+    + SECTIONS
+    + "select doc_id::varchar as accession_number, formatted_text from formatted",
 )
 def _(data: Data) -> DataFrame:
     done = structure_texts(as_reports(data), clean=False)
     return done.select("accession_number", "formatted_text")
 
 
-@query("structured_reports")
+@query(
+    "structured_reports",
+    HEADED
+    + f", prepared as ({_chain(SANITIZE + NORMALIZE, 'nfc_normalize(text)', 'headed')})"
+    + _rule_spans_sql("prepared")
+    + SECTIONS
+    + f""", ordered as (select *, case type when 'prefix' then 0 when 'body' then 1 else 2 end as rank,
+      case when type = 'body' then min(pos) over (partition by doc_id, type, label) else pos end
+        as label_pos from segment),
+  segments as (select doc_id, to_json(list({{'type': type, 'label': label, 'content': content,
+      'intervals': [{{'startPos': start_pos, 'endPos': end_pos}}], 'significance': finding}}
+      order by rank, label_pos, pos))::varchar as segments_json from ordered group by 1),
+  annotated as (select doc_id, to_json({{'extractions': list({{'extraction_text': content,
+      'extraction_class': class, 'attributes': map_from_entries(list_filter(
+        [{{'k': 'section', 'v': section}}, {{'k': 'clinical_significance', 'v': finding}}],
+        lambda e: e.v is not null)),
+      'char_interval': {{'start_pos': start_pos, 'end_pos': start_pos + length(content)}},
+      'alignment_status': 'match_exact'}} order by n, m)}})::varchar as annotated_document_json
+    from found where content <> '' group by 1)
+  select doc_id::varchar as accession_number, segments_json, annotated_document_json,
+    formatted_text, {_literal(_HEAD)} || text || {_literal(_TAIL)} as raw_prompt,
+    'rules' as model, 0.0::double as temperature, '2001-01-01 00:00:00' as loaded_at
+  from prepared join formatted using (doc_id) join segments using (doc_id)
+    join annotated using (doc_id)""",
+)
 def _(data: Data) -> DataFrame:
     return structured_reports(
         select_reports(as_reports(data), limit=0),

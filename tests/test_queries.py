@@ -30,5 +30,5 @@ def test_entry_has_rows(spark):
     assert result.count() > 0
 
 
-def test_only_the_job_itself_has_no_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"structured_reports"}
+def test_every_query_has_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())
