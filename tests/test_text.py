@@ -85,3 +85,8 @@ def test_json_keeps_or_drops_nulls(spark):
     assert row.select(scalars.to_json_keeping_nulls("s")).first()[0] == '{"a":null,"b":"é"}'
     assert row.select(F.to_json("s")).first()[0] == '{"b":"é"}'
     assert row.select(scalars.empty_to_null("e")).first()[0] is None
+
+
+def test_display_time_reads_iso_text(spark):
+    row = spark.createDataFrame([("2025-11-18T02:05:09.123456",)], "t string")
+    assert row.select(scalars.display_time("t")).first()[0] == "18/11/2025 02:05"
