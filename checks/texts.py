@@ -10,7 +10,7 @@ from checks.standins import Data, with_standins
 from reportlake.functions import text as cleaning
 from reportlake.functions.scalars import bind, strip
 from reportlake.operators import extractors, structure
-from reportlake.operators.prompts import INSTRUCTION, load_examples, prompt_column, prompt_text
+from reportlake.operators.prompts import load_examples, prompt_column, prompt_text
 from reportlake.plans.structuring import select_reports, structure_texts, structured_reports
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"

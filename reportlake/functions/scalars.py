@@ -135,10 +135,6 @@ def prune(value):
     return value
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

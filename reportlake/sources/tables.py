@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +78,3 @@ def rename_columns(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of a table in its order and types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

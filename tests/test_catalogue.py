@@ -50,7 +50,7 @@ def test_add_names_ignores_case_and_numbers_without_gaps(spark, descriptions):
     assert all(r.active and r.created_at == datetime(2024, 6, 1) for r in added)
 
 
-def test_numbering_needs_no_global_sort(spark, descriptions, plan_of):
+def test_numbering_has_no_gaps_over_many_buckets(spark, descriptions):
     names = spark.range(2000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("description"))
     ids = catalog.assign_ids(descriptions, names, DESCRIPTION)
     values = sorted(r[0] for r in ids.select("description_id").collect())
