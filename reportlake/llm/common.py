@@ -54,16 +54,24 @@ def row_of(docs: DataFrame) -> Column:
     )
 
 
-def with_row(docs: DataFrame, name: str, area: Area) -> DataFrame:
-    """All columns of ``docs`` and the row's identity, also where ids repeat or are null.
+def with_row(docs: DataFrame, area: Area) -> tuple[DataFrame, str]:
+    """``docs`` with a column for the row's identity, also where ids repeat or are null.
 
-    Tables that are not read from files are written to the shared folder first.
+    Also gives that column's name. Tables that are not read from files are written to the
+    shared folder first.
     """
+    name = free_name(docs)
     try:
-        return docs.withColumn(name, row_of(docs))
+        return docs.withColumn(name, row_of(docs)), name
     except AnalysisException:
         kept = area.keep(docs)
-        return kept.withColumn(name, row_of(kept))
+        return kept.withColumn(name, row_of(kept)), name
+
+
+def id_and_text(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(
+        F.col(name).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")
+    )
 
 
 def free_name(docs: DataFrame, wanted: str = "_row") -> str:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import Area, free_name, with_row
+from reportlake.llm.common import Area, id_and_text, with_row
 
 FAN = 4  # runs that meet in one round
 ROUNDS = 3  # FAN ** ROUNDS runs
@@ -39,12 +39,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def digests(docs: DataFrame, area: Area) -> DataFrame:
+def digests(narrow: DataFrame, area: Area) -> DataFrame:
     """Row, id and SHA-256 of the text with A-Z lower-cased, staged."""
-    name = free_name(docs)
-    narrow = with_row(docs, name, area).select(
-        F.col(name).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")
-    )
     return area.keep(narrow.mapInArrow(_digests, DIGESTS))
 
 
@@ -85,7 +81,7 @@ def exact_groups(docs: DataFrame, largest: bool = True) -> DataFrame:
     whatever name, are ignored.
     """
     area = Area(docs.sparkSession)
-    rows = digests(docs, area)
+    rows = digests(id_and_text(*with_row(docs, area)), area)
     groups = merge_runs(rows, area, largest)
     text = ["digest", "check", "bytes"]
     return rows.join(groups, text).select(
@@ -101,8 +97,6 @@ def exact_groups(docs: DataFrame, largest: bool = True) -> DataFrame:
 def drop_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
     """``docs`` with one row of each text, in all its columns."""
     area = Area(docs.sparkSession)
-    rows = digests(docs, area)
-    groups = merge_runs(rows, area, largest)
-    name = free_name(docs)
-    kept = groups.select(F.col("keep_row").alias(name))
-    return with_row(docs, name, area).join(kept, name, "left_semi").drop(name)
+    rows, name = with_row(docs, area)
+    groups = merge_runs(digests(id_and_text(rows, name), area), area, largest)
+    return rows.join(groups.select(F.col("keep_row").alias(name)), name, "left_semi").drop(name)

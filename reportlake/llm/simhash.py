@@ -17,6 +17,7 @@ as needed to keep what is linked connected.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import Area, free_name, offsets, pieces, with_row
+from reportlake.llm.common import Area, id_and_text, offsets, pieces, with_row
 
 WORDS = 3  # words in a shingle
 RADIUS = 3  # the scheme above is for three bits
@@ -81,46 +82,34 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(flat)], names=["row", "doc_id", "print"])
 
 
-def fingerprints(docs: DataFrame, area: Area) -> DataFrame:
+def fingerprints(narrow: DataFrame, area: Area) -> DataFrame:
     """row, doc_id and the fingerprint as a signed long (print), staged."""
-    name = free_name(docs)
-    narrow = with_row(docs, name, area).select(
-        F.col(name).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")
-    )
     schema = "row struct<file bigint, at bigint>, doc_id bigint, print bigint"
     return area.keep(narrow.mapInArrow(_fingerprint, schema))
 
 
-def erased_variants() -> list[tuple[int, int]]:
-    """(bits kept, bits flipped) of each variant; flips also carry the erased block's mark."""
+def erased_variants() -> list[dict]:
+    """Bits kept and bits flipped of each variant; flips also carry the erased block's mark."""
     out = []
     for number, (low, high) in enumerate(BLOCKS):
-        erased = ((1 << (high - low)) - 1) << low
-        keep, mark = ~erased, (number + 1) << low
-        out.append((_signed(keep), _signed(mark)))
-        out += [(_signed(keep), _signed(mark | 1 << bit)) for bit in range(64) if not low <= bit < high]
+        keep, mark = ~(((1 << (high - low)) - 1) << low), (number + 1) << low
+        flips = [0] + [1 << bit for bit in range(64) if not low <= bit < high]
+        out += [{"kept": _signed(keep), "flips": _signed(mark | flip)} for flip in flips]
     return out
 
 
-def full_variants() -> list[tuple[int, bool]]:
-    """(bits flipped, whether near) of the full-length variants."""
-    near = [(0, True)] + [(_signed(1 << bit), True) for bit in range(64)]
-    far = [
-        (_signed(1 << a | 1 << b), False)
-        for half in (range(32), range(32, 64))
-        for a in half
-        for b in half
-        if a < b
-    ]
-    return near + far
+def full_variants() -> list[dict]:
+    """Bits flipped, and whether near, of the full-length variants."""
+    near = [0] + [1 << bit for bit in range(64)]
+    halves = (range(32), range(32, 64))
+    far = [1 << a | 1 << b for half in halves for a in half for b in half if a < b]
+    return [{"flips": _signed(x), "near": True} for x in near] + [{"flips": _signed(x), "near": False} for x in far]
 
 
-def emit(prints: DataFrame, variants: list[tuple], fields: str) -> DataFrame:
+def emit(prints: DataFrame, variants: list[dict], fields: str) -> DataFrame:
     """A row for each print and variant; the variants are a constant of the query."""
-    rows = prints.sparkSession.createDataFrame([(variants,)], f"variants array<struct<{fields}>>")
-    constant = rows.first()["variants"]
-    literal = F.from_json(F.lit("[" + ",".join("{" + ",".join(f'"{n}":{str(v).lower()}' for n, v in zip(x.asDict(), x)) + "}" for x in constant) + "]"), f"array<struct<{fields}>>")
-    return prints.select("print", F.inline(literal))
+    constant = F.from_json(F.lit(json.dumps(variants)), f"array<struct<{fields}>>")
+    return prints.select("print", F.inline(constant))
 
 
 def _spanning(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -166,31 +155,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 right.append(group[x[:, 1]])
         return frame(np.concatenate(left), np.concatenate(right))
 
-    held_k, held_p, large = np.array([], dtype=np.int64), np.array([], dtype=np.uint64), None
+    nothing = np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
+    (keys, prints), large = nothing, None
     for batch in batches:
-        keys = np.concatenate([held_k, batch.column("key").to_numpy()])
-        prints = np.concatenate([held_p, batch.column("print").to_numpy().view(np.uint64)])
-        if large is not None:
-            n = int(np.searchsorted(keys != large, True)) if (keys == large).all() or keys[0] == large else 0
-            n = len(keys) if (keys == large).all() else n
-            if n:
-                yield frame(prints[:n], prints[:n])
-                keys, prints = keys[n:], prints[n:]
-        if not len(keys):
-            held_k, held_p = keys, prints
-            continue
-        large = None
-        last = len(keys) - int(np.argmax((keys != keys[-1])[::-1])) if (keys != keys[-1]).any() else 0
-        if len(keys) - last > GROUP:
-            large = keys[-1]
-            yield frame(prints[last:], prints[last:])
-            held_k, held_p = keys[:0], prints[:0]
-        else:
-            held_k, held_p = keys[last:], prints[last:]
-        if last:
-            yield settle(keys[:last], prints[:last])
-    if len(held_k):
-        yield settle(held_k, held_p)
+        keys = np.concatenate([keys, batch.column("key").to_numpy()])
+        prints = np.concatenate([prints, batch.column("print").to_numpy().view(np.uint64)])
+        if large is not None:  # the rest of a group that is already known to be large
+            rest = int(np.searchsorted(keys, large, side="right"))
+            if rest:
+                yield frame(prints[:rest], prints[:rest])
+                keys, prints = keys[rest:], prints[rest:]
+        if len(keys):
+            large = None
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield settle(keys[:last], prints[:last])
+            keys, prints = keys[last:], prints[last:]
+            if len(keys) > GROUP:
+                large = keys[-1]
+                yield frame(prints, prints)
+                keys, prints = nothing
+    if len(keys):
+        yield settle(keys, prints)
 
 
 def link(prints: DataFrame, area: Area) -> DataFrame:
@@ -253,7 +239,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     three differing bits (null if there is none). Repeated rows are kept. An empty table
     gives an empty result. Other columns, of whatever name, are ignored.
     """
-    return _grouped(fingerprints(docs, (area := Area(docs.sparkSession))), area).select(
+    area = Area(docs.sparkSession)
+    return _grouped(fingerprints(id_and_text(*with_row(docs, area)), area), area).select(
         "row", "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -270,7 +257,7 @@ def _grouped(rows: DataFrame, area: Area) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest id of each group of near copies."""
     area = Area(docs.sparkSession)
-    groups = _grouped(fingerprints(docs, area), area)
-    name = free_name(docs)
+    rows, name = with_row(docs, area)
+    groups = _grouped(fingerprints(id_and_text(rows, name), area), area)
     kept = groups.where("row = keep_row").select(F.col("row").alias(name))
-    return with_row(docs, name, area).join(kept, name, "left_semi").drop(name)
+    return rows.join(kept, name, "left_semi").drop(name)
