@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import dedup, simhash
+from reportlake.llm import decontaminate, dedup, packing, simhash
 from reportlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@query("op2_decontaminate")
+def op2_decontaminate(spark, folder):
+    found = decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("row")
+
+
 @query("op3_simhash")
 def op3_simhash(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
@@ -44,3 +50,8 @@ def op3_simhash(spark, folder):
 def op6_exact_dedup(spark, folder):
     found = dedup.exact_groups(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op10_pack")
+def op10_pack(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
