@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, dedup, packing, simhash
+from reportlake.llm import decontaminate, dedup, language, packing, quality, simhash
 from reportlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@query("op1_language")
+def op1_language(spark, folder):
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query("op2_decontaminate")
 def op2_decontaminate(spark, folder):
     found = decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -38,6 +43,11 @@ def op3_simhash(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
+@query("op4_quality")
+def op4_quality(spark, folder):
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(
     "op6_exact_dedup",
     f"""
