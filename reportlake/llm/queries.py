@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, dedup, language, packing, pii, quality, simhash
+from reportlake.llm import decontaminate, dedup, language, packing, pii, quality, secret_scan, simhash
 from reportlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op6_exact_dedup(spark, folder):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op7_secrets")
+def op7_secrets(spark, folder):
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
+
+
 @query("op9_pii")
 def op9_pii(spark, folder):
     return pii.find_personal(table(spark, folder, "documents"))
