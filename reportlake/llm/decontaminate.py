@@ -55,24 +55,21 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     return each.select("item_id", "item_words", "need", F.explode("seeds").alias("seed"))
 
 
-def _equal_words() -> Column:
-    """1 or 0 for each aligned word around a hit."""
-    return F.array(
-        *[
-            F.coalesce(F.get("words", F.col("at") + r) == F.get("item_words", F.lit(k)), F.lit(False)).cast("int")
-            for k, r in enumerate(_AROUND)
-        ]
-    )
-
-
 def _best_window() -> Column:
-    sums = [reduce(lambda a, b: a + b, [F.get("equal", F.lit(o + k)) for k in range(WINDOW)]) for o in range(_BEFORE + 1)]
-    return F.greatest(*sums)
+    """Most equal words in any window around a hit that holds the seed."""
+    equal = F.zip_with("doc_words", "item_words", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
+    starts = F.sequence(F.lit(1), F.lit(_BEFORE + 1))
+    return F.array_max(F.transform(starts, lambda o: F.aggregate(F.slice(equal, o, WINDOW), F.lit(0), lambda x, y: x + y)))
 
 
 def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     places = _positions(docs).select("row", "doc_id", "words", "at", F.explode(_seed_hashes(F.col("words"), F.col("at"))).alias("seed"))
-    met = places.join(F.broadcast(seeds), "seed").select("row", "doc_id", "item_id", "at", "need", _equal_words().alias("equal"))
+    around = F.array(*[F.get("words", F.col("at") + r) for r in _AROUND])
+    # A generated column keeps the test out of the join's condition, where its code would
+    # make the loop over all places too large to be compiled.
+    met = places.join(F.broadcast(seeds), "seed").select(
+        "row", "doc_id", "item_id", "at", "need", "item_words", F.explode(F.array(around)).alias("doc_words")
+    )
     return met.select("row", "doc_id", "item_id", "at", "need", _best_window().alias("equal_words")).where("equal_words >= need")
 
 
