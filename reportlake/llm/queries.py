@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, dedup, language, packing, pii, quality, secret_scan, simhash
+from reportlake.llm import decontaminate, dedup, language, lm, packing, pii, quality, secret_scan, simhash
 from reportlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op4_quality(spark, folder):
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op5_pitman_yor")
+def op5_pitman_yor(spark, folder):
+    return lm.score(table(spark, folder, "documents"))
+
+
 @query(
     "op6_exact_dedup",
     f"""
