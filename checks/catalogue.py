@@ -187,13 +187,13 @@ def _added_sql(table: str, id_column: str, name: str, proposed: str) -> str:
       where upper({name}) not in (select upper({name}) from {table})"""
 
 
-TYPED = "select ' ' || substr(p_name, 1, 9) || ' ' as name from part union all select p_brand from part"
+TYPED = "select ' ' || p_name || ' ' as name from part union all select p_brand from part"
 
 
 def _typed(data: Data, dim) -> DataFrame:
     part = data.table("part")
     names = part.select(
-        F.concat(F.lit(" "), F.substring("p_name", 1, 9), F.lit(" ")).alias(dim.name)
+        F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")).alias(dim.name)
     ).unionByName(part.select(F.col("p_brand").alias(dim.name)))
     return catalog.typed_names(names, dim)
 
@@ -441,7 +441,7 @@ def _(data: Data) -> DataFrame:
     + """select procedure_code, arg_min(procedure_name, line_no) as procedure_name,
            arg_min(modality, line_no) filter (modality is not null) as modality,
            count(*) as lines
-         from csv_lines group by 1 having count(*) > 1""",
+         from csv_lines where procedure_code is not null group by 1 having count(*) > 1""",
 )
 def _(data: Data) -> DataFrame:
     return csv_import.duplicated_codes(lines(data))
@@ -462,17 +462,11 @@ def _(data: Data) -> DataFrame:
 @query(
     "same_name_procedures",
     WITH
-    + """, numbered as (select procedure_name, procedure_code,
-             count(*) over (partition by procedure_name) as n from procedure_cat)
-         select procedure_name, n,
-           ('0x' || substr(md5(procedure_code::varchar), 1, 8))::bigint
-             % ceil(n / 1000)::bigint as page,
-           array_to_string(list_sort(list(procedure_code)), ',') as codes
-         from numbered where n > 1 group by 1, 2, 3""",
+    + """select procedure_name, count(*) over (partition by procedure_name) as n, procedure_code
+         from procedure_cat qualify n > 1""",
 )
 def _(data: Data) -> DataFrame:
-    found = csv_import.same_name_procedures(data.catalogue.procedures)
-    return found.withColumn("codes", F.array_join(F.col("codes").cast("array<string>"), ","))
+    return csv_import.same_name_procedures(data.catalogue.procedures)
 
 
 _PROPOSED_MODALITIES = """select modality as modality_name from csv_lines
@@ -523,7 +517,8 @@ def _(data: Data) -> DataFrame:
 _STATUS = """, resolved as (select l.*, (select min(m.modality_id) from modality m
       where upper(m.modality_name) = upper(l.modality)) as modality_id from csv_lines l),
   classified as (select *,
-      case when procedure_code in (select procedure_code from procedure_cat) then 'duplicate'
+      case when procedure_code is null then 'error'
+        when procedure_code in (select procedure_code from procedure_cat) then 'duplicate'
         when line_no > min(line_no) filter (modality_id is not null)
           over (partition by procedure_code) then 'duplicate'
         when modality_id is not null then 'inserted' else 'error' end as status

@@ -217,7 +217,7 @@ def _(data: Data) -> DataFrame:
     "load_statistics",
     METRICS
     + """select run_mode, count(*) as runs, sum(reports_loaded)::bigint as total_reports,
-        round(avg(reports_loaded), 0) as mean_reports, max(reports_loaded) as max_reports
+        round_even(avg(reports_loaded), 0) as mean_reports, max(reports_loaded) as max_reports
       from job_metrics group by 1""",
 )
 def _(data: Data) -> DataFrame:

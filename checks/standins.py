@@ -90,8 +90,9 @@ STANDINS = {
     # The catalogue file: every part, its first descriptions padded or unknown here and
     # there, and a second line for a third of the codes with another modality.
     "csv_lines": """
-        select 2 * p_partkey as line_no, p_partkey + (case when p_size % 3 = 0 then 0 else 1 end)
-            * (select count(*) from {part}) as procedure_code,
+        select 2 * p_partkey as line_no, case when p_size % 17 = 0 then null else
+            p_partkey + (case when p_size % 3 = 0 then 0 else 1 end)
+              * (select count(*) from {part}) end as procedure_code,
           p_name as procedure_name,
           case when p_size % 11 = 0 then 'no such modality' when p_size % 13 = 0 then null
                else lower(p_brand) end as modality,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.standins import Data, with_standins
 from reportlake.functions import text as cleaning
-from reportlake.functions.scalars import bind, strip
+from reportlake.functions.scalars import strip
 from reportlake.operators import extractors, structure
 from reportlake.operators.prompts import load_examples, prompt_column, prompt_text
 from reportlake.plans.structuring import select_reports, structure_texts, structured_reports
@@ -322,15 +322,15 @@ RENDERED = (
             else []::varchar[] end)
         || ['IMPRESSION:', '', {RSTRIP.format("array_to_string(suffix, chr(10))")}] end as lines
     from with_body)
-  select doc_id, {RSTRIP.format("array_to_string(lines, chr(10))")} as formatted_text from whole"""
+  select doc_id, coalesce({RSTRIP.format("array_to_string(lines, chr(10))")}, '') as formatted_text
+    from documents left join whole using (doc_id)"""
 )
 
 
 @query("rendered_reports", RENDERED)
 def _(data: Data) -> DataFrame:
     # A report none of whose extractions has a known class renders to nothing.
-    texts = organised(data).filter(F.size("segments") > 0)
-    return texts.select("doc_id", structure.render(F.col("segments")).alias("formatted_text"))
+    return organised(data).select("doc_id", structure.render(F.col("segments")).alias("formatted_text"))
 
 
 @query(
@@ -347,16 +347,17 @@ def _(data: Data) -> DataFrame:
 @query(
     "segments_json",
     DOCUMENT_SEGMENTS
-    + """select doc_id, to_json(list({'type': type, 'label': label, 'content': content,
+    + """, listed as (select doc_id, to_json(list({'type': type, 'label': label, 'content': content,
            'intervals': case when start_pos is not null and end_pos is not null
              then [{'startPos': start_pos, 'endPos': end_pos}] else [] end,
            'significance': significance}
            order by rank, case when type = 'body' then first else pos end, pos))::varchar
-           as segments_json from marked group by 1""",
+           as segments_json from marked group by 1)
+         select doc_id, coalesce(segments_json, '[]') as segments_json
+         from documents left join listed using (doc_id)""",
 )
 def _(data: Data) -> DataFrame:
-    texts = organised(data).filter(F.size("segments") > 0)
-    return texts.select("doc_id", structure.segments_json(F.col("segments")).alias("segments_json"))
+    return organised(data).select("doc_id", structure.segments_json(F.col("segments")).alias("segments_json"))
 
 
 @query(
@@ -476,21 +477,27 @@ def _(data: Data) -> DataFrame:
     return rows.select("doc_id", "n", "s.start_pos", "s.end_pos")
 
 
+# A chunk is the longest stretch of at most 500 characters that ends behind a line end, or
+# behind . ! or ? before white space or the end of the text; without one, 500 characters.
 @query(
     "text_chunks",
-    r"""select doc_id, text from documents where text <> ''""",
+    r"""with recursive step as (
+          select doc_id, text as rest, 0 as start, '' as chunk, -1 as n from documents
+          union all
+          select doc_id, substr(rest, size + 1), start + size, substr(rest, 1, size), n + 1
+          from (select *, case when length(rest) <= 500 then length(rest)
+                when ends = '' then 500 else length(replace(ends, chr(1), '')) end as size
+            from (select *, regexp_replace(regexp_replace(replace(regexp_replace(
+                  substr(rest, 1, 501), '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'),
+                  chr(10), chr(10) || chr(1)), '(?s)\x01$', ''), '[^\x01]*$', '') as ends
+              from step where rest <> '')))
+        select doc_id, n::bigint as n, (start - length(chunk))::bigint as "offset",
+          length(chunk)::bigint as size, md5(chunk) as chunk_md5 from step where n >= 0""",
 )
 def _(data: Data) -> DataFrame:
-    # The chunks, put together by their offsets, are the text.
-    parts = extractors.chunks(F.col("text"), 500)
-
-    def joined(found):
-        ordered = F.array_sort(F.transform(found, lambda c: F.struct(c["offset"], c["text"])))
-        return F.array_join(F.transform(ordered, lambda c: c["text"]), "")
-
-    return data.base("documents").filter("text <> ''").select(
-        "doc_id", bind(parts, joined).alias("text")
-    )
+    parts = data.base("documents").select("doc_id", F.posexplode(extractors.chunks(F.col("text"), 500)).alias("n", "c"))
+    size = F.char_length("c.text").cast("bigint").alias("size")
+    return parts.select("doc_id", "n", F.col("c.offset").alias("offset"), size, F.md5("c.text").alias("chunk_md5"))
 
 
 _HEAD, _TAIL = prompt_text(load_examples(), "{report}").split("{report}")
@@ -598,3 +605,42 @@ def _(data: Data) -> DataFrame:
         select_reports(as_reports(data), limit=0),
         loaded_at=F.lit("2001-01-01 00:00:00").cast("timestamp"),
     )
+
+
+def _answers(text: str) -> list[dict]:
+    """An extractor that fails on some texts and answers with wrong types on others."""
+    kind = len(text) % 7
+    if kind == 0:
+        raise ValueError(f"{len(text)} characters")
+    found = {"extraction_text": text, "extraction_class": "findings_suffix"}
+    if kind == 1:
+        found["attributes"] = {"section": len(text)}
+    if kind == 2:
+        found["char_interval"] = {"start_pos": "a", "end_pos": None}
+    if kind == 3:
+        found["char_interval"] = {"start_pos": "0", "end_pos": len(text)}
+    return [found]
+
+
+@query(
+    "failed_extractions",
+    rf"""select doc_id, case length(text) % 7 when 0 then length(text) || ' characters'
+             when 1 then 'attribute section is not text: ' || length(text) end as error,
+           case length(text) % 7 when 0 then 'Error processing report: ' || error
+             when 1 then 'Error processing report: ' || error
+             else 'IMPRESSION:' || chr(10) || chr(10) || {RSTRIP.format(STRIP.format('text'))} end as formatted_text,
+           case when length(text) % 7 = 3 then '0-' || length(text) else '' end as intervals
+         from documents""",
+)
+def _(data: Data) -> DataFrame:
+    whole = extractors.python_extractor(_answers, budget=None)
+    found = data.base("documents").withColumn("x", whole(F.col("text"))).select("doc_id", "x.*")
+    done = structure.build_response(found.select("doc_id", F.col("ok").alias("extractions"), "error"))
+    span = F.get("segments", F.lit(0))["intervals"]
+    shown = F.array_join(F.transform(span, lambda i: F.concat_ws("-", i["startPos"].cast("string"), i["endPos"].cast("string"))), ",")
+    return done.select("doc_id", "error", "formatted_text", F.coalesce(shown, F.lit("")).alias("intervals"))
+
+
+@query("all_reports_selected", HEADED + "select doc_id::varchar as accession_number, text as report_text from headed")
+def _(data: Data) -> DataFrame:
+    return select_reports(as_reports(data))

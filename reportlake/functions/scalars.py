@@ -22,7 +22,6 @@ BLANK_CHARS = "".join(
 WEEKDAYS = ("Domingo", "Segunda", "Terça", "Quarta", "Quinta", "Sexta", "Sábado")
 
 LABEL_CHARS = 50
-ERROR_CHARS = 500
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 

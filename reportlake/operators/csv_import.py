@@ -24,7 +24,6 @@ from reportlake.operators.catalog import (
 from reportlake.schemas import CSV_COLUMNS, CSV_HEADERS, SLOT_COLUMNS, SLOT_NAMES
 
 INSERTED, DUPLICATE, ERROR = "inserted", "duplicate", "error"
-CODES_PER_LIST = 1000
 
 _FILE_SCHEMA = T.StructType(
     [
@@ -78,7 +77,8 @@ def distinct_descriptions(lines: DataFrame) -> DataFrame:
 
 
 def duplicated_lines(lines: DataFrame) -> DataFrame:
-    """Every line of a code that appears more than once.
+    """Every line of a code that appears more than once, and lines without a code if
+    there are several.
 
     The repeated codes are counted with partial aggregates and joined back, so a code
     on a large part of the lines is not gathered anywhere.
@@ -89,7 +89,8 @@ def duplicated_lines(lines: DataFrame) -> DataFrame:
         .filter("__n > 1")
         .select("procedure_code")
     )
-    return lines.join(repeated, "procedure_code", "left_semi")
+    same = lines["procedure_code"].eqNullSafe(repeated["procedure_code"])
+    return lines.join(repeated, same, "left_semi")
 
 
 def _first(column: str) -> Column:
@@ -164,11 +165,21 @@ def classify_lines(lines: DataFrame, procedures: DataFrame, modalities: DataFram
     resolved = (
         lines.withColumn("name_key", F.upper("modality")).join(known, "name_key", "left")
     ).drop("name_key")
-    present = procedures.select("procedure_code").distinct().withColumn("__present", F.lit(True))
-    first = resolved.groupBy("procedure_code").agg(
-        F.min(F.when(F.col("modality_id").isNotNull(), F.col("line_no"))).alias("__first")
+    # One small row a code, and one join of the lines with it, which adaptive execution can
+    # split where a code is on many lines. Lines without a code stay out of it.
+    present = procedures.select("procedure_code", F.lit(True).alias("__present"))
+    facts = (
+        resolved.filter(F.col("procedure_code").isNotNull())
+        .select(
+            "procedure_code",
+            F.lit(False).alias("__present"),
+            F.when(F.col("modality_id").isNotNull(), F.col("line_no")).alias("__line"),
+        )
+        .unionByName(present, allowMissingColumns=True)
+        .groupBy("procedure_code")
+        .agg(F.max("__present").alias("__present"), F.min("__line").alias("__first"))
     )
-    placed = resolved.join(present, "procedure_code", "left").join(first, "procedure_code", "left")
+    placed = resolved.join(facts, "procedure_code", "left")
     status = (
         F.when(F.col("procedure_code").isNull(), ERROR)
         .when(F.col("__present"), DUPLICATE)
@@ -228,21 +239,13 @@ def catalogue_counts(
 
 
 def same_name_procedures(procedures: DataFrame) -> DataFrame:
-    """Names carried by several codes, with the sorted codes.
-
-    A name with more codes than ``CODES_PER_LIST`` gets several lists (``page``), so no
-    single row grows with the table.
-    """
+    """Codes whose name other codes carry too, with how many there are: a row a code."""
     counts = procedures.groupBy("procedure_name").agg(F.count("*").alias("n")).filter("n > 1")
-    pages = F.ceil(F.col("n") / CODES_PER_LIST).cast("bigint")
-    spread = F.conv(F.substring(F.md5(F.col("procedure_code").cast("string")), 1, 8), 16, 10)
     return (
         procedures.select("procedure_name", "procedure_code")
         .join(counts, "procedure_name")
-        .withColumn("page", F.pmod(spread.cast("bigint"), pages))
-        .groupBy("procedure_name", "n", "page")
-        .agg(F.array_sort(F.collect_list("procedure_code")).alias("codes"))
-        .orderBy(F.desc("n"), "procedure_name", "page")
+        .select("procedure_name", "n", "procedure_code")
+        .orderBy(F.desc("n"), "procedure_name", "procedure_code")
     )
 
 

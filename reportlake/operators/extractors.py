@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportlake.functions.scalars import BLANKS, ERROR_CHARS, bind, lstrip, non_blank, strip
+from reportlake.functions.scalars import BLANKS, bind, lstrip, non_blank, strip
 from reportlake.operators.structure import (
     SECTION_ATTRIBUTE,
     SIGNIFICANCE_ATTRIBUTE,
@@ -253,12 +253,65 @@ _RESULT_TYPE = T.StructType(
 _FIELDS = _EXTRACTION_TYPE.fieldNames()
 
 
+def _text(value, field: str) -> str | None:
+    if value is not None and not isinstance(value, str):
+        raise TypeError(f"{field} is not text: {value!r}")
+    return value
+
+
+def _attributes(value) -> dict[str, str | None] | None:
+    """Text by text; a list of texts is joined, any other value is refused."""
+    if value is None:
+        return None
+    if not isinstance(value, dict):
+        raise TypeError(f"attributes are not a mapping: {value!r}")
+    out = {}
+    for key, one in value.items():
+        if isinstance(one, (list, tuple)):
+            one = ", ".join(_text(x, f"an item of attribute {key}") or "" for x in one)
+        out[_text(key, "an attribute's name") or ""] = _text(one, f"attribute {key}")
+    return out
+
+
+def _interval(value, offset: int) -> dict | None:
+    """Both ends as whole numbers of 32 bits, else none."""
+    if not isinstance(value, dict):
+        return None
+    ends = []
+    for name in ("start_pos", "end_pos"):
+        one = value.get(name)
+        if isinstance(one, str) and re.fullmatch(r"\s*[+-]?[0-9]{1,10}\s*", one):
+            one = int(one)
+        if isinstance(one, float) and one.is_integer():
+            one = int(one)
+        if isinstance(one, bool) or not isinstance(one, int) or abs(one + offset) >= 1 << 31:
+            return None
+        ends.append(one + offset)
+    return dict(zip(("start_pos", "end_pos"), ends))
+
+
+def checked(found: dict, offset: int) -> dict:
+    """An answer in the types of ``_EXTRACTION_TYPE``, its interval moved by ``offset``.
+
+    An interval that isn't one becomes null; any other badly typed field is an error, which
+    then is the error of its report.
+    """
+    if not isinstance(found, dict):
+        raise TypeError(f"an extraction is not a mapping: {found!r}")
+    out = {name: _text(found.get(name), name) for name in (_FIELDS[0], _FIELDS[1], _FIELDS[4])}
+    out["attributes"] = _attributes(found.get("attributes"))
+    out["char_interval"] = _interval(found.get("char_interval"), offset)
+    return out
+
+
 def python_extractor(
     extract: Callable[[str], list[dict]], budget: int | None = CHARS_PER_CALL
 ) -> Extractor:
     """An extractor from a function of one text, called on chunks of ``budget`` characters.
 
     Intervals the function gives are relative to its chunk and are moved to the report.
+    The budget decides what the function sees at once: what crosses a cut is never seen
+    whole. Without one the function gets each report in one piece.
     """
 
     cut = re.compile(_chunk_pattern(budget, r"\Z") if budget else r"(?s).+")
@@ -269,22 +322,12 @@ def python_extractor(
         try:
             return {"ok": [e for part in cut.finditer(text) for e in one_chunk(part)], "error": None}
         except Exception as problem:
-            return {"ok": None, "error": str(problem)[:ERROR_CHARS]}
+            return {"ok": None, "error": str(problem) or type(problem).__name__}
 
     def one_chunk(part: re.Match) -> list[dict]:
         if not part.group().strip():
             return []
-        return [moved(found, part.start()) for found in extract(part.group())]
-
-    def moved(found: dict, offset: int) -> dict:
-        out = {name: found.get(name) for name in _FIELDS}
-        span = out["char_interval"]
-        if span and span.get("start_pos") is not None and span.get("end_pos") is not None:
-            out["char_interval"] = {
-                "start_pos": int(span["start_pos"]) + offset,
-                "end_pos": int(span["end_pos"]) + offset,
-            }
-        return out
+        return [checked(found, part.start()) for found in extract(part.group())]
 
     @F.pandas_udf(_RESULT_TYPE)
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -205,13 +205,13 @@ def last_runs(job_metrics: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def load_statistics(job_metrics: DataFrame) -> DataFrame:
-    """Runs and loaded reports per run mode; the mean is rounded to a whole number."""
+    """Runs and loaded reports per run mode; the mean is rounded half to even."""
     return (
         job_metrics.groupBy("run_mode")
         .agg(
             F.count("*").alias("runs"),
             F.sum("reports_loaded").alias("total_reports"),
-            F.round(F.avg("reports_loaded"), 0).alias("mean_reports"),
+            F.bround(F.avg("reports_loaded"), 0).alias("mean_reports"),
             F.max("reports_loaded").alias("max_reports"),
         )
         .orderBy(F.desc("runs"), "run_mode")

@@ -19,19 +19,18 @@ from reportlake.sources.sinks import append_rows, replace_table
 from reportlake.sources.tables import conform, table_exists
 
 RULE_MODEL = "rules"
-DEFAULT_LIMIT = 100
 
 
 def select_reports(
     reports: DataFrame,
     start: date | str | None = None,
     end: date | str | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Reports with a text in the window; the first ``limit`` by key, all when not positive."""
+    """All reports with a text in the window, or the first ``limit`` by key if one is given."""
     chosen = reports.filter(in_window("performed_at", start, end))
     chosen = chosen.filter(F.col("report_text").isNotNull())
-    if limit > 0:
+    if limit:
         chosen = chosen.orderBy(REPORT_KEY).limit(limit)
     return chosen.filter(non_blank("report_text")).select(REPORT_KEY, "report_text")
 
@@ -91,7 +90,7 @@ def run_structuring(
     output_table: str,
     start: date | str | None = None,
     end: date | str | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = None,
     extractor: Extractor = rule_extractor,
     model: str = RULE_MODEL,
     temperature: float = 0.0,

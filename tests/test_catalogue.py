@@ -212,9 +212,13 @@ def test_file_overview(spark, tmp_path):
     assert [r.procedure_name for r in lines.orderBy("line_no").limit(2).collect()] == ["taken", "D'Ávila"]
 
 
-def test_many_codes_of_one_name_are_paged(spark):
+def test_many_codes_of_one_name_are_a_row_each(spark):
     rows = spark.range(2500).select(F.col("id").alias("procedure_code"), F.lit("same").alias("procedure_name"))
-    pages = csv_import.same_name_procedures(rows).collect()
-    assert len(pages) == 3 and {p.n for p in pages} == {2500}
-    assert sorted(c for p in pages for c in p.codes) == list(range(2500))
-    assert all(list(p.codes) == sorted(p.codes) for p in pages)
+    found = csv_import.same_name_procedures(rows).collect()
+    assert [tuple(r) for r in found] == [("same", 2500, code) for code in range(2500)]
+
+
+def test_lines_without_a_code_repeat_each_other(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, 7), (4, 8), (5, 8)], "line_no bigint, procedure_code bigint")
+    assert sorted(r.line_no for r in csv_import.duplicated_lines(rows).collect()) == [1, 2, 4, 5]
+    assert csv_import.duplicated_lines(rows.filter("line_no <> 1")).count() == 2
