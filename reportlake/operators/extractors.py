@@ -36,8 +36,8 @@ MATCH_EXACT, MATCH_FUZZY = "match_exact", "match_fuzzy"
 EMPTY_TEXT = "Report text cannot be empty"
 
 
-def char_offsets(pieces: Column) -> Column:
-    """Start of every piece of a text that was cut without losing a character."""
+def _running_offsets(pieces: Column) -> Column:
+    """Copies the growing array for every piece, so for short arrays only."""
     return F.aggregate(
         pieces,
         F.array(F.lit(0)),
@@ -47,6 +47,29 @@ def char_offsets(pieces: Column) -> Column:
     )
 
 
+def char_offsets(pieces: Column) -> Column:
+    """Start of every piece of a text that was cut without losing a character, and its end.
+
+    Pieces are summed in blocks of about the root of their number: no array that grows
+    step by step is longer than that, however many pieces there are.
+    """
+
+    def blocks(all_: Column, size: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), size)
+        return F.transform(firsts, lambda first: F.slice(all_, first, size))
+
+    def offsets(cut: Column) -> Column:
+        whole = F.transform(cut, lambda block: F.array_join(block, ""))
+        return bind(_running_offsets(whole), lambda starts: F.flatten(F.transform(cut, lambda b, k: block_of(b, k, starts, cut))))
+
+    def block_of(block: Column, k: Column, starts: Column, cut: Column) -> Column:
+        own = bind(_running_offsets(block), lambda o: F.transform(o, lambda x: x + F.get(starts, k)))
+        return F.when(k == F.size(cut) - 1, own).otherwise(F.slice(own, 1, F.size(block)))
+
+    size = F.ceil(F.sqrt(F.greatest(F.size(pieces), F.lit(1)))).cast("int")
+    return bind(size, lambda n: bind(blocks(pieces, n), offsets))
+
+
 def _chunk_pattern(budget: int, text_end: str = r"\z") -> str:
     """At most ``budget`` characters up to a sentence or line end, else cut anywhere."""
     return (

@@ -156,16 +156,34 @@ def distinct_contents(contents: Column) -> Column:
     padded repeat therefore stays.
     """
 
-    def keep(raw: Column, stripped: Column) -> Column:
-        return F.filter(
-            stripped,
-            lambda s, i: (F.get(raw, i) != s) | (F.array_position(stripped, s) == i + 1),
+    def marked(raw: Column) -> Column:
+        """Sorted by stripped content, so that repeats stand next to each other."""
+        return F.array_sort(
+            F.transform(
+                raw,
+                lambda c, i: bind(
+                    strip(c),
+                    lambda s: F.struct(s.alias("content"), i.alias("at"), (c != s).alias("padded")),
+                ),
+            )
         )
 
-    return bind(
-        contents,
-        lambda raw: bind(F.transform(raw, strip), lambda stripped: keep(raw, stripped)),
-    )
+    def first_ones(found: Column) -> Column:
+        kept = F.filter(
+            found,
+            lambda x, k: x["content"].isNotNull()
+            & (
+                x["padded"]
+                | (k == 0)
+                | ~F.get(found, k - 1)["content"].eqNullSafe(x["content"])
+            ),
+        )
+        return F.transform(
+            F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["content"].alias("content")))),
+            lambda x: x["content"],
+        )
+
+    return bind(bind(contents, marked), first_ones)
 
 
 def group_contents(segments: Column) -> Column:
