@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from datetime import date
 from pathlib import Path
@@ -22,14 +23,17 @@ from pyspark.sql import functions as F  # noqa: E402
 from checks.standins import Data  # noqa: E402
 from checks.texts import as_reports  # noqa: E402
 from reportlake.functions.text import preprocess_report  # noqa: E402
+from reportlake.operators.csv_import import import_catalogue  # noqa: E402
 from reportlake.operators.extract import active_codes, one_per_accession, stamp  # noqa: E402
 from reportlake.operators.filters import Catalogue, Filters  # noqa: E402
 from reportlake.operators.upsert import merge_all, merge_daily  # noqa: E402
 from reportlake.plans import dashboard, monitoring  # noqa: E402
-from reportlake.plans.daily import window_rows  # noqa: E402
+from reportlake.plans.backfill import run_backfill  # noqa: E402
+from reportlake.plans.daily import run_daily, window_rows  # noqa: E402
 from reportlake.plans.structuring import structure_texts  # noqa: E402
-from reportlake.schemas import REPORTS, RUN_DAILY, RUN_REPROCESS  # noqa: E402
+from reportlake.schemas import REPORTS, RUN_DAILY, RUN_MODES, RUN_REPROCESS  # noqa: E402
 from reportlake.session import local_session, staging  # noqa: E402
+from reportlake.sources.sinks import apply_staged, create_reports  # noqa: E402
 from reportlake.sources.systems import SourceTables  # noqa: E402
 
 
@@ -44,6 +48,7 @@ def main() -> None:
         cpus,
         "reportlake-bench",
         **{
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="bench-"),
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
             "spark.sql.files.maxPartitionBytes": "32m",
@@ -104,6 +109,29 @@ def main() -> None:
         timed("upsert_daily", lambda: noop(merge_daily(month, batch, small_source=True)))
         timed("upsert_reprocess", lambda: noop(merge_all(reports, big)))
 
+        # The jobs as they run: from the sources into a table.
+        spark.sql("CREATE DATABASE IF NOT EXISTS bench")
+        modes = spark.createDataFrame([(RUN_DAILY, True), (RUN_REPROCESS, True)], RUN_MODES)
+        table = "bench.reports"
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        create_reports(reports, table)
+        timed("apply_staged", lambda: apply_staged(spark, area, "week", table, RUN_DAILY))
+        timed(
+            "run_daily",
+            lambda: run_daily(spark, tables, catalogue.procedures, modes, table, day_to_process="1998-03-02"),
+        )
+        for name, dry in (("backfill_dry_run", True), ("run_backfill_four_weeks", False)):
+            timed(
+                name,
+                lambda d=dry: run_backfill(
+                    spark, tables, catalogue.procedures, modes, table, "1998-03-02", "1998-03-30", 7, d
+                ).collect(),
+            )
+        named = {"modalities": source["modality"], "descriptions": source["description"], "procedures": source["procedure_cat"]}
+        grown = lambda: import_catalogue(named, data.table("csv_lines"))
+        timed("run_import", lambda: [noop(df) for df in grown().values()])
+        spark.sql(f"DROP TABLE {table}")
+
         recent = Filters(last_days=365, as_of="2001-01-01", sources=["HSP", "PSC"])
         picked = Filters(descriptions=["red", "ECONOMY"], modalities=["Brand#2", "Brand#5"])
         for name, build in {

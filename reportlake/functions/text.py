@@ -127,8 +127,17 @@ _CONTINUATION = (
     r"\u0080-\u00BF\u0152\u0153\u0160\u0161\u0178\u017D\u017E\u0192\u02C6\u02DC"
     r"\u2013\u2014\u2018-\u201A\u201C-\u201E\u2020-\u2022\u2026\u2030\u2039\u203A\u20AC\u2122"
 )
+# The same without the signs that stand behind a capital letter in ordinary text.
+_CONTINUATION_LETTER = (
+    r"\u0080-\u009F\u00A1-\u00AA\u00AC-\u00BA\u00BC-\u00BF\u0152\u0153\u0160\u0161\u0178\u017D"
+    r"\u017E\u0192\u02C6\u02DC\u201A\u201E\u2020\u2021\u2030\u20AC"
+)
+# By lead byte: two bytes of Latin-1 letters; of further Latin letters; of Greek, Cyrillic
+# and what follows, where only a run of them is damage; three bytes; four bytes.
 _MOJIBAKE = (
-    rf"[\u00C2\u00C3][{_CONTINUATION}]|\u00E2[{_CONTINUATION}]{{2}}|\u00F0[{_CONTINUATION}]{{3}}"
+    rf"[\u00C2\u00C3][{_CONTINUATION}]|[\u00C4\u00C5][{_CONTINUATION_LETTER}]|\u00C5[\u2019\u201C]"
+    rf"|(?:[\u00C6-\u00DF][{_CONTINUATION}]){{2,}}"
+    rf"|(?:[\u00E0-\u00EF][{_CONTINUATION}]{{2}})+|(?:[\u00F0-\u00F4][{_CONTINUATION}]{{3}})+"
 )
 _ENTITY = r"&#?[A-Za-z0-9]+;"
 # Combining marks, jamo and the compatibility singletons: what NFC can change.
@@ -174,9 +183,19 @@ def _decode_run(match: re.Match) -> str:
         except UnicodeEncodeError:
             raw.append(ord(char) & 0xFF)
     try:
-        return raw.decode("utf-8")
+        found = raw.decode("utf-8")
     except UnicodeDecodeError:
         return match.group()
+    # One ideograph alone is rather an accented letter before two quotes.
+    alone = len(found) == 1 and found >= "\u0800" and unicodedata.category(found) == "Lo"
+    return match.group() if alone else found
+
+
+def undo_mojibake(text: str) -> str:
+    """Also where a text was damaged several times; each pass makes it shorter."""
+    while (repaired := re.sub(_MOJIBAKE, _decode_run, text)) != text:
+        text = repaired
+    return text
 
 
 @F.pandas_udf(T.StringType())
@@ -186,7 +205,7 @@ def _repair(texts: pd.Series) -> pd.Series:
             return None
         if "<" not in text:
             text = html.unescape(text)
-        return unicodedata.normalize("NFC", re.sub(_MOJIBAKE, _decode_run, text))
+        return unicodedata.normalize("NFC", undo_mojibake(text))
 
     return texts.map(one, na_action="ignore")
 

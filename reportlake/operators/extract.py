@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,16 +102,18 @@ def attach_patients(
     return performed.drop("source").join(encounters, "encounter_id")
 
 
-def attach_texts(with_patient: DataFrame, reports: DataFrame) -> DataFrame:
+def attach_texts(with_patient: DataFrame, reports: DataFrame, hash_below: bool = True) -> DataFrame:
     """The usable report texts of the rows.
 
     The text's hash is taken below the join, so consumers of other columns never move
-    the text itself.
+    the text itself. Jobs that load the text take it above: then only texts of the rows
+    are hashed, not all there are.
     """
-    texts = reports.filter(non_blank("report_text")).withColumn(
-        TEXT_HASH, F.xxhash64("report_text")
-    )
-    return with_patient.join(texts, ["encounter_id", "occurrence_no", "order_no", "source"])
+    keys = ["encounter_id", "occurrence_no", "order_no", "source"]
+    texts = reports.filter(non_blank("report_text"))
+    if hash_below:
+        return with_patient.join(texts.withColumn(TEXT_HASH, F.xxhash64("report_text")), keys)
+    return with_patient.join(texts, keys).withColumn(TEXT_HASH, F.xxhash64("report_text"))
 
 
 def attach_reports(
@@ -126,8 +128,10 @@ def attach_reports(
     return attach_texts(attach_patients(performed, encounters, strict_source), reports)
 
 
-def to_report_rows(joined: DataFrame, strict_key: bool = False) -> DataFrame:
-    """Key, timestamp and partition month; helper columns go."""
+def to_report_rows(
+    joined: DataFrame, strict_key: bool = False, also: Sequence[str] = ()
+) -> DataFrame:
+    """Key, timestamp and partition month; helper columns go, but for those in ``also``."""
     separator = "-" if strict_key else ""
     return joined.select(
         "encounter_id",
@@ -143,6 +147,7 @@ def to_report_rows(joined: DataFrame, strict_key: bool = False) -> DataFrame:
         "source",
         year_month("performed_date").alias("year_month"),
         TEXT_HASH,
+        *also,
     )
 
 

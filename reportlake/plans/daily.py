@@ -41,7 +41,7 @@ def window_rows(
     if performed.isEmpty():
         return performed, performed.limit(0)
     with_patient = area.write(attach_patients(performed, tables.encounters), "with_patient")
-    return performed, to_report_rows(attach_texts(with_patient, tables.reports))
+    return performed, to_report_rows(attach_texts(with_patient, tables.reports, hash_below=False))
 
 
 @dataclass(frozen=True)

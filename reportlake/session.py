@@ -56,9 +56,10 @@ class Staging:
         self.root = f"{shared_folder(spark)}/reportlake-{uuid.uuid4().hex}"
         self.kept = False
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """``folders``: columns whose values get a folder each."""
         path = f"{self.root}/{name}"
-        df.write.mode("error").parquet(path)
+        df.write.mode("error").partitionBy(*folders).parquet(path)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema: StructType) -> DataFrame:

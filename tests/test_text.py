@@ -90,3 +90,25 @@ def test_json_keeps_or_drops_nulls(spark):
 def test_display_time_reads_iso_text(spark):
     row = spark.createDataFrame([("2025-11-18T02:05:09.123456",)], "t string")
     assert row.select(scalars.display_time("t")).first()[0] == "18/11/2025 02:05"
+
+
+@pytest.mark.parametrize(
+    "whole",
+    ["é", "à noite", "fi", "łódź", "Ångström", "αβγ", "Привет", "œuvre", "“quoted”", "x – y", "日本語", "🙂🙂", "שלום", "İstanbul şehir"],
+)
+@pytest.mark.parametrize("times", [1, 2])
+def test_damage_is_undone_also_when_it_was_repeated(whole, times):
+    def damage(text):
+        return "".join(bytes([b]).decode("windows-1252", errors="ignore") or chr(b) for b in text.encode())
+
+    broken = whole
+    for _ in range(times):
+        broken = damage(broken)
+    assert text.undo_mojibake(broken) == whole
+
+
+@pytest.mark.parametrize(
+    "plain", ["CAFÉ» e", "NÃO – sim", "É–", "PAÍS “x”", "à é î ô", "Ð alone", "ÀÉÎÕÜ", "café”»", "100 £ ± 5 °C", "Ñ", "SÃO"]
+)
+def test_ordinary_text_stays(plain):
+    assert text.undo_mojibake(plain) == plain
