@@ -376,6 +376,22 @@ def _(data: Data) -> DataFrame:
     return document_extractions(data).select("doc_id", json.alias("annotated_document_json"))
 
 
+@query(
+    "pruned_extractions",
+    DOCUMENT_SEGMENTS
+    + """select doc_id, i::bigint as n, json_merge_patch('{}', to_json({'extraction_text': content, 'extraction_class': class,
+           'attributes': nullif(map_from_entries(list_filter(
+             [{'k': 'section', 'v': section}, {'k': 'clinical_significance', 'v': finding}],
+             lambda e: e.v is not null)), map([]::varchar[], []::varchar[])),
+           'char_interval': case when start_pos is not null or end_pos is not null
+             then {'start_pos': start_pos, 'end_pos': end_pos} end,
+           'alignment_status': null}))::varchar as json from extraction""",
+)
+def _(data: Data) -> DataFrame:
+    rows = document_extractions(data).select("doc_id", F.posexplode("extractions").alias("n", "e"))
+    return rows.select("doc_id", "n", structure.pruned_json(F.col("e")).alias("json"))
+
+
 # --- Extraction -----------------------------------------------------------------
 
 HEADED = with_standins("headed")

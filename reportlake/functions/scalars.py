@@ -124,16 +124,6 @@ def empty_to_null(value: ColumnOrName) -> Column:
     return F.when(F.size(_col(value)) > 0, _col(value))
 
 
-def prune(value):
-    """Drop nulls and empty containers from a nested Python value (prompt examples)."""
-    if isinstance(value, dict):
-        pruned = {k: prune(v) for k, v in value.items()}
-        return {k: v for k, v in pruned.items() if v is not None and v != {} and v != []}
-    if isinstance(value, list):
-        return [v for v in map(prune, value) if v is not None]
-    return value
-
-
 def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

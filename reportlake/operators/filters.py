@@ -13,7 +13,6 @@ from reportlake.functions.scalars import day
 from reportlake.operators.slots import slot_rows
 
 # Choices of the period box; None is everything.
-PERIODS = (7, 30, 90, 365, None)
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,6 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.functions.scalars import prune
 from reportlake.schemas import EXTRACTIONS
 
 INSTRUCTION = """\
@@ -25,29 +24,27 @@ minor, significant, not_applicable in the attribute "clinical_significance".
 
 Answer with a JSON object whose key "extractions" holds the list.
 
-# Few-Shot Examples
+# Examples
 
 {examples}
 
 {inference}
 """
 
-# Fixed format of an example and of the closing section.
+# An example, and the report to work on.
 _EXAMPLE = """\
-## Example {number}
-
-**Input Text:**
-```
+<example number="{number}">
+<report>
 {text}
-```
-
-**Expected Output:**
-```json
+</report>
+<answer>
 {output}
-```"""
-_BETWEEN = "\n\n---\n\n"
-_INFERENCE_HEAD = "\n\n## Inference Example:\n\n**Input Text:**\n```\n"
-_INFERENCE_TAIL = "\n```\n\n**Expected Output:**\n"
+</answer>
+</example>"""
+_BETWEEN = "\n\n"
+_INFERENCE_HEAD = "\n# Your report\n\n<report>\n"
+_INFERENCE_TAIL = "\n</report>\n\nGive the answer as in the examples, without the tags.\n"
+_SHOWN = ("extraction_class", "extraction_text", "attributes")
 
 
 def load_examples() -> list[dict]:
@@ -64,9 +61,11 @@ def examples_frame(spark: SparkSession, examples: Iterable[dict] | None = None)
 
 
 def _examples_text(examples: Iterable[dict]) -> str:
+    """Answers show the fields a model has to give, where an example has them."""
     shown = []
     for number, example in enumerate(examples, 1):
-        output = json.dumps(prune({"extractions": example["extractions"]}), indent=2)
+        found = [{f: e[f] for f in _SHOWN if e.get(f)} for e in example["extractions"]]
+        output = json.dumps({"extractions": found}, indent=1, ensure_ascii=False)
         shown.append(_EXAMPLE.format(number=number, text=example["text"], output=output))
     return _BETWEEN.join(shown)
 

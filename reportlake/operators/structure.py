@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from reportlake.functions.scalars import (
     BLANKS,
     bind,
+    empty_to_null,
     rstrip,
     strip,
     to_json_keeping_nulls,
@@ -302,6 +303,21 @@ def render(segments: Column, examination_labels: Iterable[str] = EXAMINATION_LAB
     return bind(group_contents(segments), text)
 
 
+def pruned_json(extraction: Column) -> Column:
+    """An extraction as JSON without nulls and without what is empty at any depth."""
+    span = extraction["char_interval"]
+    known = span["start_pos"].isNotNull() | span["end_pos"].isNotNull()
+    return F.to_json(
+        F.struct(
+            extraction["extraction_text"].alias("extraction_text"),
+            extraction["extraction_class"].alias("extraction_class"),
+            empty_to_null(extraction["attributes"]).alias("attributes"),
+            F.when(known, span).alias("char_interval"),
+            extraction["alignment_status"].alias("alignment_status"),
+        )
+    )
+
+
 def annotated_document_json(extractions: Column) -> Column:
     return to_json_keeping_nulls(F.struct(extractions.cast(EXTRACTIONS).alias("extractions")))
 

@@ -91,7 +91,6 @@ EXTRACTION = (
     "char_interval:struct<start_pos:int,end_pos:int>,alignment_status:string>"
 )
 EXTRACTIONS = f"array<{EXTRACTION}>"
-EXTRACTOR_RESULT = f"struct<ok:{EXTRACTIONS},error:string>"
 
 STRUCTURED_REPORTS = _struct(
     "accession_number string, segments_json string, annotated_document_json string, "

@@ -21,11 +21,6 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.table(table)
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
-
-
 def run_query(spark: SparkSession, sql: str, **parameters) -> DataFrame:
     """A parameterised statement; the result stays lazy and failures are raised."""
     return spark.sql(sql, args=parameters) if parameters else spark.sql(sql)

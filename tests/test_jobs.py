@@ -236,7 +236,7 @@ def test_structuring_job_appends_and_upserts(spark, database, sources, procedure
     row = once.first()
     assert row.model == "rules" and row.temperature == 0.0
     assert row.formatted_text.startswith("EXAME: x") and "FINDINGS:" in row.formatted_text
-    assert "## Inference Example:" in row.raw_prompt
+    assert "# Your report" in row.raw_prompt
 
 
 def test_select_reports_refuses_a_bad_date(spark, sources):

@@ -194,9 +194,9 @@ def test_closest_span_threshold():
 def test_prompt(spark):
     examples = prompts.load_examples()
     whole = prompts.prompt_text(examples, "the {report}")
-    assert whole.count("## Example ") == len(examples) and "## Inference Example:" in whole
+    assert whole.count("## Example ") == len(examples) and "# Your report" in whole
     assert "null" not in whole and "char_interval" not in whole
-    assert "## Inference Example:" not in prompts.prompt_text(examples)
+    assert "# Your report" not in prompts.prompt_text(examples)
     row = spark.createDataFrame([("the {report}",)], "t string")
     assert row.select(prompts.prompt_column(F.col("t"))).first()[0] == whole
     shown = prompts.examples_frame(spark).collect()

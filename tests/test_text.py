@@ -73,11 +73,6 @@ def test_short_label_always_has_dots(spark):
     assert apply(spark, scalars.short_label, "short") == "short..."
 
 
-def test_prune():
-    value = {"a": None, "b": {}, "c": [], "d": {"e": None}, "f": [None, {"g": None}, 1], "h": "", "i": 0}
-    assert scalars.prune(value) == {"f": [{}, 1], "h": "", "i": 0}
-
-
 def test_json_keeps_or_drops_nulls(spark):
     row = spark.sql("select named_struct('a', cast(null as string), 'b', 'é') as s, array() as e")
     from pyspark.sql import functions as F
