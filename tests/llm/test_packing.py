@@ -62,10 +62,10 @@ def test_evolution_is_no_worse_than_best_fit(seed):
     rng = random.Random(seed)
     lengths = [rng.randint(1, 99) for _ in range(300)]
     best = packing.evolve(lengths, [], 100, seed)[0]
-    plain = packing.Bins(100, [], lengths).put(packing.longest_first(range(300), lengths))
-    assert sorted(i for own in best for i in own) == list(range(300))
-    assert all(sum(lengths[i] for i in own) <= 100 for own in best)
-    assert packing.fitness(best, lengths, 100) >= packing.fitness(plain, lengths, 100)
+    plain = packing.Bins(100, lengths).put(packing.longest_first(range(300), lengths))
+    assert sorted(i for own in best.held for i in own) == list(range(300))
+    assert all(sum(lengths[i] for i in own) == used <= 100 for own, used in zip(best.held, best.used))
+    assert best.fitness >= plain.fitness
 
 
 def test_many_blocks(spark):
