@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from reportlake.functions.scalars import day
 from reportlake.operators.slots import slot_rows
 
-# Choices of the period box; None is everything.
-
 
 @dataclass(frozen=True)
 class Catalogue:

@@ -194,7 +194,7 @@ def test_closest_span_threshold():
 def test_prompt(spark):
     examples = prompts.load_examples()
     whole = prompts.prompt_text(examples, "the {report}")
-    assert whole.count("## Example ") == len(examples) and "# Your report" in whole
+    assert whole.count("<example number=") == len(examples) and "# Your report" in whole
     assert "null" not in whole and "char_interval" not in whole
     assert "# Your report" not in prompts.prompt_text(examples)
     row = spark.createDataFrame([("the {report}",)], "t string")
