@@ -142,16 +142,21 @@ def import_names_counts(table: DataFrame, lines: DataFrame, dim: Named) -> DataF
 
 
 def _resolve_descriptions(lines: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Description texts to ids; an unknown or blank text becomes an empty slot."""
+    """Description texts to ids; an unknown or blank text becomes an empty slot.
+
+    The filled slots become rows and meet the ids in one join; empty slots, which are most,
+    take no part in it.
+    """
     ids = id_by_name(descriptions, DESCRIPTION)
-    out = lines
-    for slot, name in zip(SLOT_COLUMNS, SLOT_NAMES):
-        lookup = ids.select(
-            F.col("name_key").alias(f"__key_{slot}"), F.col("description_id").alias(slot)
-        )
-        out = out.withColumn(f"__key_{slot}", F.upper(strip(name)))
-        out = out.join(lookup, f"__key_{slot}", "left").drop(f"__key_{slot}")
-    return out
+    texts = F.posexplode(F.array(*SLOT_NAMES)).alias("__slot", "__text")
+    filled = lines.select("line_no", texts).filter(non_blank("__text"))
+    named = filled.select("line_no", "__slot", F.upper(strip("__text")).alias("name_key"))
+    slots = [
+        F.max(F.when(F.col("__slot") == i, F.col("description_id"))).alias(slot)
+        for i, slot in enumerate(SLOT_COLUMNS)
+    ]
+    found = named.join(ids, "name_key").groupBy("line_no").agg(*slots)
+    return lines.join(found, "line_no", "left")
 
 
 def classify_lines(lines: DataFrame, procedures: DataFrame, modalities: DataFrame) -> DataFrame:
