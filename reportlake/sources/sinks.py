@@ -8,6 +8,7 @@ be repeated from the staged copy or from the start.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -43,18 +44,27 @@ def append_rows(df: DataFrame, table: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(table)
 
 
-def replace_table(spark: SparkSession, df: DataFrame, table: str) -> None:
-    """Rewrite a small table from a query that may read the table itself."""
-    with staging(spark) as area:
-        _swap_table(area, area.write(df, "rows").write.mode("overwrite"), table)
-
+def replace_table(
+    spark: SparkSession, df: DataFrame, table: str, partitions: Sequence[str] = ()
+) -> None:
+    """Rewrite a small table from a query that may read the table itself.
 
-def _swap_table(area: Staging, writer, table: str) -> None:
+    The new table is written beside the old one and takes its name when it is complete; a
+    reader finds one or the other, but for the moment between two renamings. If a step
+    fails, the rows are left in the table beside, which the error names.
+    """
+    beside, old = (f"{table}__{kind}_{uuid.uuid4().hex[:12]}" for kind in ("new", "old"))
     try:
-        writer.format("parquet").saveAsTable(table)
+        df.write.format("parquet").partitionBy(*partitions).saveAsTable(beside)
+        if table_exists(spark, table):
+            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
     except Exception as problem:
-        area.keep()
-        raise RuntimeError(f"{table} not replaced, staged rows kept in {area.root}") from problem
+        if table_exists(spark, old) and not table_exists(spark, table):
+            spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+        raise RuntimeError(f"{table} not replaced, its new rows may be in {beside}") from problem
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    spark.catalog.refreshTable(table)
 
 
 def _months(df: DataFrame) -> list[str]:
@@ -89,6 +99,17 @@ def _overwrite_months(spark: SparkSession, area: Staging, rows: DataFrame, table
         raise RuntimeError(f"{table} not replaced, staged rows kept in {area.root}") from problem
 
 
+class ChangedMeanwhile(RuntimeError):
+    """Another run wrote to months that were being merged."""
+
+
+def _files_of(spark: SparkSession, table: str, months: Sequence[str]) -> list[str]:
+    """The files that hold the months now. A merge expects them to be there at its end:
+    Parquet tables have no transactions, so one table is to have one writer at a time."""
+    spark.catalog.refreshTable(table)
+    return sorted(spark.read.table(table).filter(F.col(REPORT_PARTITION).isin(months)).inputFiles())
+
+
 def _replace_months(
     spark: SparkSession, area: Staging, staged: DataFrame, table: str, touched: Sequence[str]
 ) -> None:
@@ -122,10 +143,14 @@ def apply_staged(spark: SparkSession, area: Staging, name: str, table: str, run_
         source.select(REPORT_KEY), REPORT_KEY, "left_semi"
     )
     touched = sorted(set(_months(source)) | set(_months(matched)))
-    affected = target.filter(F.col(REPORT_PARTITION).isin(touched))
+    before = _files_of(spark, table, touched)
+    affected = conform(spark.read.table(table), REPORTS).filter(F.col(REPORT_PARTITION).isin(touched))
     rule = merge_daily if run_mode == RUN_DAILY else merge_all
     merged = rule(affected, source, small_source=_small_enough(spark, area, name))
-    _replace_months(spark, area, area.write(merged, "merged"), table, touched)
+    staged = area.write(merged, "merged")
+    if _files_of(spark, table, touched) != before:
+        raise ChangedMeanwhile(f"{table}: months {', '.join(touched)} changed during the merge")
+    _replace_months(spark, area, staged, table, touched)
 
 
 def compact_reports(
@@ -150,9 +175,5 @@ def compact_reports(
 def rename_table_columns(spark: SparkSession, table: str, renames: dict[str, str]) -> None:
     """Column rename on a Parquet table: the rows are rewritten under the new names."""
     partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    with staging(spark) as area:
-        rows = area.write(rename_columns(spark.read.table(table), renames), "rows")
-        writer = rows.write.mode("overwrite")
-        if partitions:
-            writer = writer.partitionBy(*[renames.get(p, p) for p in partitions])
-        _swap_table(area, writer, table)
+    renamed = rename_columns(spark.read.table(table), renames)
+    replace_table(spark, renamed, table, [renames.get(p, p) for p in partitions])

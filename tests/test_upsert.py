@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from reportlake import schemas
 from reportlake.operators import upsert
@@ -138,3 +139,31 @@ def test_staging_is_removed_also_after_a_failure(spark):
             raise RuntimeError
     path = area._path()
     assert not path.getFileSystem(area._conf()).exists(path)
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark, database):
+    table = f"{database}.small"
+    spark.range(3).write.saveAsTable(table)
+    broken = spark.range(2).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
+    with pytest.raises(RuntimeError, match="not replaced"):
+        sinks.replace_table(spark, broken, table)
+    assert spark.read.table(table).count() == 3
+    sinks.replace_table(spark, spark.read.table(table).filter("id > 0"), table)
+    assert sorted(r.id for r in spark.read.table(table).collect()) == [1, 2]
+    assert [t.name for t in spark.catalog.listTables(database) if "__old" in t.name] == []
+
+
+def test_a_merge_notices_another_writer(spark, database, sides, monkeypatch):
+    table = f"{database}.reports"
+    target, source = sides
+    sinks.upsert_reports(spark, target, table, RUN_DAILY)
+    rule = sinks.merge_daily
+
+    def meanwhile(*args, **options):
+        spark.read.table(table).limit(1).write.mode("append").insertInto(table)
+        return rule(*args, **options)
+
+    monkeypatch.setattr(sinks, "merge_daily", meanwhile)
+    with pytest.raises(sinks.ChangedMeanwhile):
+        sinks.upsert_reports(spark, source, table, RUN_DAILY)
+    assert spark.read.table(table).count() == 4
