@@ -11,11 +11,15 @@ displace back by best fit. The fewest bins win, then the fullest.
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
@@ -28,7 +32,7 @@ from reportlake.llm.common import Area, pieces
 
 SEQUENCE = 2048
 VOCABULARY = "word_bpe_49k.json"
-BLOCK = 4000  # pieces an island packs at once, on average
+BLOCK = 16_000  # pieces an island packs at once, on average
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
@@ -37,77 +41,74 @@ WELL_FILLED = 0.98
 PIECES = "item bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 _TAIL = b".,!?;:$&%#*|"  # ASCII signs: a run of them is one token of the pre-tokenizer
-_SIMPLE = re.compile("[a-zß-öø-ÿ]+")  # one token of the pre-tokenizer, already normal
-_KEPT = 300_000  # words in each of the two generations of the cache
+# UTF-8 of a-z and ß to ÿ without the sign ÷: one token of the pre-tokenizer, already normal
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# How a byte-level vocabulary writes bytes that aren't printable: signs from 256 on, in order.
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+_KEPT = 400_000  # words in each of the two generations of the cache
 
 
 class WordIds:
     """Ids of words between ASCII blanks as little-endian bytes.
 
     The pre-tokenizer never joins across a blank, so the ids of a text are those of its
-    words in turn. Words are looked up in two bounded generations of a cache; what is
-    missing is encoded in bulk, words of plain letters many at a time.
+    words in turn. Words are looked up in two bounded generations of a cache. What is
+    missing goes through the tokenizer; words of plain letters, with or without signs
+    behind them, go to its merges directly.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")}
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.older_cores: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
     def encode(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def letters(self, cores: list[bytes]) -> None:
-        """Fills the cache for words of plain letters; each ends with an end-of-word id."""
-        for at in range(0, len(cores), 500):
-            some = cores[at : at + 500]
-            ids = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids
-            found, own = [], []
-            for i in ids:
-                own.append(i)
-                if i in self.ends:
-                    found.append(self.packed(own))
-                    own = []
-            if len(found) != len(some):
-                found = [self.encode(x.decode()) for x in some]
-            self.cores.update(zip(some, found))
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def letters(self, cores: Iterable[bytes]) -> None:
+        """Fills the cache for words of plain letters: normal already, and one token each
+        for the pre-tokenizer, so its byte signs go to the merges as they are."""
+        merge, signs = self.tokenizer.model.tokenize, BYTE_SIGNS
+        for core in cores:
+            ids = [t.id for t in merge(core.decode("latin-1").translate(signs))]
+            self.cores[core] = struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.words) > _KEPT:
             self.older, self.words = self.words, {}
         if len(self.cores) > _KEPT:
-            self.cores = {}
-        plain, lacking = [], set()
-        for word in words:
-            if word in self.words:
-                continue
-            if (old := self.older.get(word)) is not None:
-                self.words[word] = old
-                continue
-            core = word.rstrip(_TAIL)
-            low = core.lower()
-            if len(low) > 40 or not _SIMPLE.fullmatch(low.decode()):
+            self.older_cores, self.cores = self.cores, {}
+        lacking = words.difference(self.words)
+        again = lacking.intersection(self.older)
+        self.words.update(zip(again, map(self.older.__getitem__, again)))
+        new = list(lacking - again)
+        cores = [w.rstrip(_TAIL) for w in new]
+        lows = [c.lower() for c in cores]
+        plain = [low.isalpha() or bool(_SIMPLE.fullmatch(low)) for low in lows]
+        for k, simple in enumerate(plain):
+            if not simple:  # capitals beyond ASCII
+                lows[k] = lows[k].decode().lower().encode()
+                plain[k] = bool(_SIMPLE.fullmatch(lows[k]))
+        for word, simple in zip(new, plain):
+            if not simple:
                 self.words[word] = self.encode(word.decode())
-                continue
-            plain.append((word, low, word[len(core) :]))
-            if low not in self.cores:
-                lacking.add(low)
-        self.letters(list(lacking))
-        for word, low, tail in plain:
-            if tail not in self.tails:
-                self.tails[tail] = self.encode(tail.decode())
-            self.words[word] = self.cores[low] + self.tails[tail]
+        new, cores, lows = (list(compress(x, plain)) for x in (new, cores, lows))
+        lacking = set(lows).difference(self.cores)
+        again = lacking.intersection(self.older_cores)
+        self.cores.update(zip(again, map(self.older_cores.__getitem__, again)))
+        self.letters(lacking - again)
+        tails = [w[len(c) :] for w, c in zip(new, cores)]
+        for tail in set(tails).difference(self.tails):
+            self.tails[tail] = self.encode(tail.decode())
+        ids = map(bytes.__add__, map(self.cores.__getitem__, lows), map(self.tails.__getitem__, tails))
+        self.words.update(zip(new, ids))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words})
+        self.learn(set().union(*split))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
@@ -121,7 +122,7 @@ def _cut(path: str, most: int):
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, texts in pieces(batch, "text"):
+            for first, texts in pieces(batch, "text", 8_000_000):
                 out = {n: [] for n in ("item", "doc_id", "piece", "start", "length", "ids_crc32")}
                 for k, own in enumerate(encoder.texts(texts)):
                     own += b"\0\0\0\0"
@@ -137,83 +138,89 @@ def _cut(path: str, most: int):
 
 
 class Bins:
-    """Open bins by what is free in them; finds the fullest that takes a length."""
+    """Bins and what is used in each; finds the fullest that takes a length."""
 
-    def __init__(self, capacity: int, held: list[list[int]], lengths: list[int]):
-        self.capacity, self.lengths, self.held = capacity, lengths, held
+    def __init__(self, capacity: int, lengths: list[int], held: list[list[int]] | None = None, used: list[int] | None = None):
+        self.capacity, self.lengths, self.held, self.used = capacity, lengths, held or [], used or []
         self.free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.mask = 0  # bit r: a bin has r free
-        for number, own in enumerate(held):
-            self._open(number, capacity - sum(lengths[i] for i in own))
+        for number, amount in enumerate(self.used):
+            self.free[capacity - amount].append(number)
+            self.mask |= 1 << (capacity - amount)
 
-    def _open(self, number: int, room: int) -> None:
-        self.free[room].append(number)
-        self.mask |= 1 << room
-
-    def put(self, items: list[int]) -> list[list[int]]:
-        """Best fit, the longest first."""
+    def put(self, items: Iterable[int]) -> Bins:
+        """Each item by best fit, in the order given."""
+        lengths, held, used, free, mask = self.lengths, self.held, self.used, self.free, self.mask
         for i in items:
-            size = self.lengths[i]
-            rooms = self.mask >> size
+            size = lengths[i]
+            rooms = mask >> size
             if rooms:
                 room = size + (rooms & -rooms).bit_length() - 1
-                number = self.free[room].pop()
-                if not self.free[room]:
-                    self.mask ^= 1 << room
-                self.held[number].append(i)
+                number = free[room].pop()
+                if not free[room]:
+                    mask ^= 1 << room
+                held[number].append(i)
+                used[number] += size
             else:
-                room, number = self.capacity, len(self.held)
-                self.held.append([i])
-            self._open(number, room - size)
-        return self.held
-
+                room, number = self.capacity, len(held)
+                held.append([i])
+                used.append(size)
+            free[room - size].append(number)
+            mask |= 1 << (room - size)
+        self.mask = mask
+        return self
 
-def longest_first(items, lengths: list[int]) -> list[int]:
-    return sorted(items, key=lambda i: (-lengths[i], i))
+    @property
+    def fitness(self) -> tuple[int, float]:
+        return -len(self.held), sum(x * x for x in self.used) / self.capacity**2
 
 
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    return -len(bins), sum((sum(lengths[i] for i in own) / capacity) ** 2 for own in bins)
+def longest_first(items: Iterable[int], lengths: list[int]) -> list[int]:
+    return sorted(sorted(items), key=lengths.__getitem__, reverse=True)
 
 
-def cross(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def cross(a: Bins, b: Bins, rng: random.Random) -> Bins:
     """Whole well-filled bins of ``b`` in ``a``, and what they displace by best fit."""
-    good = [own for own in b if sum(lengths[i] for i in own) >= WELL_FILLED * capacity]
-    injected = [list(own) for own in good if rng.random() < 0.5]
-    there = {i for own in injected for i in own}
-    stay, displaced = [], []
-    for own in a:
+    good = WELL_FILLED * a.capacity
+    injected = [k for k, amount in enumerate(b.used) if amount >= good and rng.random() < 0.5]
+    held, used = [list(b.held[k]) for k in injected], [b.used[k] for k in injected]
+    there = {i for own in held for i in own}
+    displaced = []
+    for own, amount in zip(a.held, a.used):
         if there.isdisjoint(own):
-            stay.append(list(own))
+            held.append(list(own))
+            used.append(amount)
         else:
             displaced += [i for i in own if i not in there]
-    return Bins(capacity, injected + stay, lengths).put(longest_first(displaced, lengths))
+    return Bins(a.capacity, a.lengths, held, used).put(longest_first(displaced, a.lengths))
 
 
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(bins: Bins, rng: random.Random) -> Bins:
     """Empties the least filled bins and a few others, and puts their documents back."""
-    order = sorted(range(len(bins)), key=lambda k: sum(lengths[i] for i in bins[k]))
-    out = set(order[: max(1, len(bins) // 50)]) | {rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 50))}
-    loose = [i for k in out for i in bins[k]]
-    return Bins(capacity, [list(own) for k, own in enumerate(bins) if k not in out], lengths).put(longest_first(loose, lengths))
+    few = max(1, len(bins.held) // 50)
+    out = set(heapq.nsmallest(few, range(len(bins.held)), key=bins.used.__getitem__))
+    out |= {rng.randrange(len(bins.held)) for _ in range(few)}
+    loose = [i for k in out for i in bins.held[k]]
+    stay = [k for k in range(len(bins.held)) if k not in out]
+    held, used = [bins.held[k] for k in stay], [bins.used[k] for k in stay]
+    return Bins(bins.capacity, bins.lengths, held, used).put(longest_first(loose, bins.lengths))
 
 
-def evolve(lengths: list[int], start: list[list[list[int]]], capacity: int, seed: int) -> list[list[list[int]]]:
+def evolve(lengths: list[int], start: list[list[list[int]]], capacity: int, seed: int) -> list[Bins]:
     """The population after some generations, the fittest first; ``start`` takes part."""
     rng = random.Random(seed)
     everyone = range(len(lengths))
-    population = list(start) or [Bins(capacity, [], lengths).put(longest_first(everyone, lengths))]
+    population = [Bins(capacity, lengths, held, [sum(lengths[i] for i in own) for own in held]) for held in start]
+    if not population:
+        population = [Bins(capacity, lengths).put(longest_first(everyone, lengths))]
     while len(population) < POPULATION:
-        noise = [rng.uniform(0.8, 1) for _ in everyone]
-        population.append(Bins(capacity, [], lengths).put(sorted(everyone, key=lambda i: -lengths[i] * noise[i])))
-    score = lambda bins: fitness(bins, lengths, capacity)
-    population.sort(key=score, reverse=True)
+        rough = [-x * rng.uniform(0.8, 1) for x in lengths]
+        population.append(Bins(capacity, lengths).put(sorted(everyone, key=rough.__getitem__)))
     for _ in range(GENERATIONS):
-        children = []
         for _ in range(POPULATION // 2):
-            a, b = rng.sample(population, 2)
-            children.append(mutate(cross(a, b, lengths, capacity, rng), lengths, capacity, rng))
-        population = sorted(population + children, key=score, reverse=True)[:POPULATION]
+            a, b = rng.sample(population[:POPULATION], 2)
+            population.append(mutate(cross(a, b, rng), rng))
+        population = sorted(population, key=lambda x: x.fitness, reverse=True)[:POPULATION]
     return population
 
 
@@ -240,8 +247,8 @@ def _epoch(capacity: int, epoch: int):
                 lengths = [int(x) for x in lengths]
                 start = [] if come is None else [_bins(x) for x in come]
                 best = evolve(lengths, start, capacity, int(block) * 1000 + int(island) * 10 + epoch)
-                labels = [_labels(bins, len(lengths)) for bins in best[:2]]
-                rows.append((block, island, labels, len(best[0]), fitness(best[0], lengths, capacity)[1]))
+                labels = [_labels(bins.held, len(lengths)) for bins in best[:2]]
+                rows.append((block, island, labels, len(best[0].held), best[0].fitness[1]))
             yield pd.DataFrame(rows, columns=["block", "island", "best", "bins", "fill"])
 
     return run
@@ -275,7 +282,8 @@ def pack(cut: DataFrame, area: Area, capacity: int = SEQUENCE, block: int = BLOC
         )
     )
     islands = problem.select("block", F.col("own.length").alias("lengths"), F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    islands = area.keep(islands.repartition("block", "island"))
+    # a number of its own: a row is small, but minutes of work are in a few of them
+    islands = area.keep(islands.repartition(blocks * ISLANDS, "block", "island"))
     come = islands.select("*", F.lit(None).cast("array<array<int>>").alias("come"))
     for epoch in range(EPOCHS):
         found = area.keep(come.select("block", "island", "lengths", "come").mapInPandas(_epoch(capacity, epoch), "block bigint, island int, best array<array<int>>, bins int, fill double"))
