@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import fold, pieces
+from reportlake.llm.common import Area, fold, pieces
 from reportlake.llm.grams import codes, dual_coordinate_descent, labelled_sample
 
 SAMPLE = 3000  # training texts of a class at most
@@ -103,14 +103,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """Fitted on at most ``limit`` texts of each class outside the fold that is held out."""
+    """Fitted on at most ``limit`` texts of each class outside the fold that is held out.
+
+    The sample is of the distinct labelled (id, text) of ``docs``, and shares count these.
+    """
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where("label in (0, 1)").where(fold(F.col("doc_id"), 3) != 1).distinct()
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shares = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    drawn = labelled_sample(known, "label", F.col("doc_id"), limit)  # bounded by the limit
-    examples = texts.join(F.broadcast(drawn), "doc_id").select("label", "draw", "text")
-    rows = examples.mapInArrow(_features, "label int, draw bigint, places binary").collect()
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    narrow = texts.select("doc_id", digest).join(known, "doc_id").select("label", "doc_id", "digest").distinct()
+    narrow = Area(docs.sparkSession).keep(narrow)  # labelled texts that are there, each once
+    shares = {r.label: r["count"] for r in narrow.groupBy("label").count().collect()}
+    drawn = labelled_sample(narrow, "label", F.struct("doc_id", "digest"), limit)  # bounded by the limit
+    met = texts.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id").select("doc_id", digest, "text")
+    one = ["label", "draw", "doc_id", "digest"]  # a repeated row is down to one a task before it moves
+    examples = met.join(F.broadcast(drawn), ["doc_id", "digest"]).groupBy(*one).agg(F.min("text").alias("text"))
+    rows = examples.select("label", "draw", "text").mapInArrow(_features, "label int, draw bigint, places binary").collect()
     rows.sort(key=lambda r: (r.label, r.draw, r.places))
     kept, seen = [], {0: 0, 1: 0}
     for r in rows:

@@ -85,3 +85,22 @@ def test_the_sample_is_bounded(docs_of, spark, limit):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(900)], "doc_id bigint, quality int, toxic int")
     rows = quality.score_quality(docs, labels, limit).collect()
     assert all(r.predicted == r.doc_id % 2 for r in rows)
+
+
+def test_the_sample_is_of_the_texts_that_are_there(docs_of, spark):
+    """Few of many labelled ids have documents, and some stand on many rows."""
+    docs = docs_of([(i, f"good words here {i}" if i % 2 else f"$$$ ### !!! {i}") for i in range(60)] + [(i, f"good words here {i}" if i % 2 else f"$$$ ### !!! {i}") for i in range(10)] * 200)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20_000)], "doc_id bigint, quality int, toxic int")
+    rows = quality.score_quality(docs, labels, 10).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)
+
+
+def test_a_repeated_row_is_one_training_text(docs_of, spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "Model", lambda rows, labels, shares: seen.append((len(rows), shares.tolist())))
+    learned = [i for i in range(30) if not held_out(i)]
+    docs = docs_of([(i, f"text {i}") for i in range(30)] + [(learned[0], f"text {learned[0]}")] * 300)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    quality.train(docs, labels)
+    odd = sum(i % 2 for i in learned)
+    assert seen == [(len(learned), [len(learned) - odd, odd])]
