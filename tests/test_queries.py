@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as contract  # noqa: E402
+from checks import ORACLES, QUERIES  # noqa: E402
 from tools.compare import compare, connect  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
     verdict, size = compare(spark, connection, FOLDER, name)
     assert verdict.startswith("ok"), verdict
@@ -31,4 +32,9 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
