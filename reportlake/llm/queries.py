@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import chat, decontaminate, dedup, language, lm, packing, pii, quality, secret_scan, simhash
+from reportlake.llm import chat, decontaminate, dedup, language, lm, packing, pii, quality, runs, secret_scan, simhash
 from reportlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op9_pii(spark, folder):
 @query("op10_pack")
 def op10_pack(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op11_runs")
+def op11_runs(spark, folder):
+    return runs.periodic_runs(table(spark, folder, "documents"), plant=True)
