@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import chat, decontaminate, dedup, language, lm, multiset, packing, pii, quality, runs, secret_scan, simhash
+from reportlake.llm import chat, decontaminate, dedup, language, lm, multiset, packing, pii, quality, runs, secret_scan, simhash, whitening
 from reportlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,11 @@ def op11_runs(spark, folder):
     return runs.periodic_runs(table(spark, folder, "documents"), plant=True)
 
 
+@query("op12_whitening")
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query("op13_fingerprint")
 def op13_fingerprint(spark, folder):
     found = multiset.fingerprints(table(spark, folder, "documents")).drop("row")
