@@ -33,7 +33,7 @@ from reportlake.plans.daily import run_daily, window_rows  # noqa: E402
 from reportlake.plans.structuring import structure_texts  # noqa: E402
 from reportlake.schemas import REPORTS, RUN_DAILY, RUN_MODES, RUN_REPROCESS  # noqa: E402
 from reportlake.session import local_session, staging  # noqa: E402
-from reportlake.sources.sinks import apply_staged, create_reports  # noqa: E402
+from reportlake.sources.sinks import apply_staged, create_reports, drop_reports  # noqa: E402
 from reportlake.sources.systems import SourceTables  # noqa: E402
 
 
@@ -113,7 +113,7 @@ def main() -> None:
         spark.sql("CREATE DATABASE IF NOT EXISTS bench")
         modes = spark.createDataFrame([(RUN_DAILY, True), (RUN_REPROCESS, True)], RUN_MODES)
         table = "bench.reports"
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_reports(spark, table)
         create_reports(reports, table)
         timed("apply_staged", lambda: apply_staged(spark, area, "week", table, RUN_DAILY))
         timed(
@@ -130,7 +130,7 @@ def main() -> None:
         named = {"modalities": source["modality"], "descriptions": source["description"], "procedures": source["procedure_cat"]}
         grown = lambda: import_catalogue(named, data.table("csv_lines"))
         timed("run_import", lambda: [noop(df) for df in grown().values()])
-        spark.sql(f"DROP TABLE {table}")
+        drop_reports(spark, table)
 
         recent = Filters(last_days=365, as_of="2001-01-01", sources=["HSP", "PSC"])
         picked = Filters(descriptions=["red", "ECONOMY"], modalities=["Brand#2", "Brand#5"])

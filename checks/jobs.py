@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.extraction import REPORT_COLUMNS, _merge_view, _merged_sql, merge_sides, with_digest
+from checks.extraction import MERGE_SQL, REPORT_COLUMNS, T0, _merge_view, _merged_sql, merge_sides, with_digest
 from checks.registry import day_sql, query
 from checks.standins import Data, with_reports, with_standins
 from reportlake.operators.csv_import import read_catalogue_csv
@@ -17,7 +17,7 @@ from reportlake.plans.daily import run_daily
 from reportlake.plans.monitoring import backfill_summary
 from reportlake.schemas import CSV_COLUMNS, CSV_HEADERS, RUN_DAILY, RUN_MODES, RUN_REPROCESS
 from reportlake.session import Staging
-from reportlake.sources.sinks import compact_reports, create_reports, upsert_reports
+from reportlake.sources.sinks import compact_reports, create_reports, drop_reports, keys_table, upsert_reports
 from reportlake.sources.systems import SourceTables
 
 FIRST, PAST, DAYS = "1995-01-01", "1995-04-11", 30
@@ -29,7 +29,7 @@ def _own_table(data: Data):
     try:
         yield name
     finally:
-        data.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_reports(data.spark, name)
 
 
 def _kept(data: Data, rows: DataFrame) -> DataFrame:
@@ -58,6 +58,28 @@ for _mode, _name, _other in ((RUN_DAILY, "daily", "not old"), (RUN_REPROCESS, "r
     query(f"upsert_through_table_{_name}", _merged_sql(_other))(_through_table)
 
 
+# Where the keys live, as the table beside the reports has it after a merge and a compaction.
+@query(
+    "months_of_keys",
+    MERGE_SQL + "select accession_number, case when new then b_month else t_month end as year_month from pairs",
+)
+def _(data: Data) -> DataFrame:
+    old, new = merge_sides(data)
+    with _own_table(data) as table:
+        create_reports(old, table)
+        upsert_reports(data.spark, new, table, RUN_REPROCESS)
+        compact_reports(data.spark, table)
+        return _kept(data, data.spark.read.table(keys_table(table)).drop("bucket"))
+
+
+@query("clustered_reports", with_reports() + f"select {REPORT_COLUMNS} from reports")
+def _(data: Data) -> DataFrame:
+    with _own_table(data) as table:
+        create_reports(data.stamped(T0), table)
+        compact_reports(data.spark, table, cluster_by=("accession_number", "procedure_code", "performed_at"))
+        return _kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
+
+
 _BATCHED = with_reports() + f""", batched as (select *,
       ((performed_date - date '{FIRST}') // {DAYS} + 1)::bigint as batch from joined
     where performed_date >= date '{FIRST}' and performed_date < date '{PAST}'),

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The default stores timestamps without least and greatest value, so no file is skipped.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 LOCAL = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}

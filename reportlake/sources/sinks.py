@@ -4,17 +4,25 @@ Parquet tables have no MERGE. A merge here touches only the months that change:
 the batch belongs to and those where the matched keys live now. The result is staged
 first and then replaces these months by dynamic partition overwrite, so a failed run can
 be repeated from the staged copy or from the start.
+
+Where keys live is kept beside the table, in ``<table>__keys``: pairs of key and month in
+folders by a hash of the key, so a batch reads the folders it hits and no key of the
+table itself. The pairs are a superset of what the table holds. A merge adds its pairs
+before it swaps months: a pair too many costs the reading of a month, a pair too few
+would lose a match.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from reportlake.operators.curve import curve_key, quantiles
 from reportlake.operators.upsert import merge_all, merge_daily
 from reportlake.schemas import REPORT_KEY, REPORT_PARTITION, REPORTS, RUN_DAILY
 from reportlake.session import Staging, staging
@@ -22,6 +30,10 @@ from reportlake.sources.tables import conform, rename_columns, table_exists
 
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
+KEY_BUCKETS = 64
+KEYS_TAG, KEYS_BUCKETS = "reportlake.keys", "reportlake.key_buckets"
+CLUSTER_BY = ("procedure_code", "performed_at")
+
 
 def _by_month(df: DataFrame) -> DataFrame:
     """Rows gathered by month into file-sized tasks; a heavy month is split up."""
@@ -37,6 +49,56 @@ def create_reports(df: DataFrame, table: str) -> None:
         .format("parquet")
         .saveAsTable(table)
     )
+    build_keys(df.sparkSession, table)
+
+
+def drop_reports(spark: SparkSession, table: str) -> None:
+    """The table and its keys."""
+    for name in (table, keys_table(table)):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def keys_table(table: str) -> str:
+    return f"{table}__keys"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(REPORT_KEY), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _property(spark: SparkSession, table: str, name: str) -> str | None:
+    return {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}.get(name)
+
+
+def build_keys(spark: SparkSession, table: str, buckets: int = KEY_BUCKETS) -> None:
+    """The key table from one scan of the table's keys.
+
+    Both tables get the same tag when it is complete. A table that was replaced has none,
+    and a merge builds its keys anew.
+    """
+    keys, tag = keys_table(table), uuid.uuid4().hex
+    spark.sql(f"DROP TABLE IF EXISTS {keys}")
+    rows = spark.read.table(table).select(REPORT_KEY, REPORT_PARTITION, _bucket(buckets)).distinct()
+    gathered = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", REPORT_KEY)
+    gathered.write.partitionBy("bucket").format("parquet").saveAsTable(keys)
+    spark.sql(f"ALTER TABLE {keys} SET TBLPROPERTIES ('{KEYS_TAG}' = '{tag}', '{KEYS_BUCKETS}' = '{buckets}')")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{KEYS_TAG}' = '{tag}')")
+
+
+def forget_keys(spark: SparkSession, table: str) -> None:
+    """After rows came in by another way than a merge."""
+    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{KEYS_TAG}')")
+
+
+def keys_hit(spark: SparkSession, table: str, source: DataFrame) -> DataFrame:
+    """Pairs of key and month in the folders that the keys of ``source`` fall into."""
+    keys = keys_table(table)
+    tag = _property(spark, table, KEYS_TAG)
+    if tag is None or not table_exists(spark, keys) or _property(spark, keys, KEYS_TAG) != tag:
+        build_keys(spark, table)
+    buckets = int(_property(spark, keys, KEYS_BUCKETS))
+    hit = [r.bucket for r in source.select(_bucket(buckets)).distinct().collect()]
+    return spark.read.table(keys).filter(F.col("bucket").isin(hit))
 
 
 def append_rows(df: DataFrame, table: str) -> None:
@@ -134,42 +196,66 @@ def upsert_reports(spark: SparkSession, batch: DataFrame, table: str, run_mode:
 
 def apply_staged(spark: SparkSession, area: Staging, name: str, table: str, run_mode: str) -> None:
     """``upsert_reports`` for a batch that is staged already."""
-    source = area.read(name, REPORTS)
+    rule = merge_daily if run_mode == RUN_DAILY else merge_all
+    merge_staged(spark, area, name, table, REPORTS, rule)
+
+
+def merge_staged(
+    spark: SparkSession, area: Staging, name: str, table: str, schema: StructType, rule: Callable[..., DataFrame]
+) -> None:
+    """Merges a staged batch of unique keys into a table partitioned by month."""
+    source = area.read(name, schema)
     if not table_exists(spark, table):
         return create_reports(source, table)
 
-    target = conform(spark.read.table(table), REPORTS)
-    matched = target.select(REPORT_KEY, REPORT_PARTITION).join(
-        source.select(REPORT_KEY), REPORT_KEY, "left_semi"
-    )
+    known = keys_hit(spark, table, source)
+    matched = known.join(source.select(REPORT_KEY), REPORT_KEY, "left_semi")
     touched = sorted(set(_months(source)) | set(_months(matched)))
     before = _files_of(spark, table, touched)
-    affected = conform(spark.read.table(table), REPORTS).filter(F.col(REPORT_PARTITION).isin(touched))
-    rule = merge_daily if run_mode == RUN_DAILY else merge_all
+    affected = conform(spark.read.table(table), schema).filter(F.col(REPORT_PARTITION).isin(touched))
     merged = rule(affected, source, small_source=_small_enough(spark, area, name))
     staged = area.write(merged, "merged")
     if _files_of(spark, table, touched) != before:
         raise ChangedMeanwhile(f"{table}: months {', '.join(touched)} changed during the merge")
+    _add_keys(spark, area, table, source, known)
     _replace_months(spark, area, staged, table, touched)
 
 
+def _add_keys(spark: SparkSession, area: Staging, table: str, source: DataFrame, known: DataFrame) -> None:
+    keys = keys_table(table)
+    pairs = source.select(REPORT_KEY, REPORT_PARTITION).join(known, [REPORT_KEY, REPORT_PARTITION], "left_anti")
+    new = area.write(pairs.withColumn("bucket", _bucket(int(_property(spark, keys, KEYS_BUCKETS)))), "new_keys")
+    if not new.isEmpty():
+        gathered = new.hint("rebalance", "bucket").sortWithinPartitions("bucket", REPORT_KEY)
+        gathered.write.mode("append").partitionBy("bucket").format("parquet").saveAsTable(keys)
+        spark.catalog.refreshTable(keys)
+
+
 def compact_reports(
     spark: SparkSession,
     table: str,
     months: Sequence[str] | None = None,
-    cluster_by: Sequence[str] = ("procedure_code", "performed_at"),
+    cluster_by: Sequence[str] = CLUSTER_BY,
+    files: int | None = None,
 ) -> None:
-    """Rewrite months into few files, sorted so that scans can skip by min/max."""
+    """Rewrites months into few files, each with a narrow range of every column of ``cluster_by``.
+
+    Rows are cut by range of month and place on the curve over these columns; ``files`` sets
+    how many pieces, else their size does. Over whole tables the keys are rebuilt.
+    """
     rows = spark.read.table(table)
     if months is not None:
         rows = rows.filter(F.col(REPORT_PARTITION).isin(list(months)))
     with staging(spark) as area:
-        staged = area.write(rows, "rows")
-        clustered = _by_month(staged.select(*rows.columns)).sortWithinPartitions(
-            REPORT_PARTITION, *cluster_by
-        )
-        _overwrite_months(spark, area, clustered, table)
+        staged = area.write(rows, "rows").select(*rows.columns)
+        place = curve_key(staged, cluster_by, quantiles(staged, cluster_by))
+        order = [REPORT_PARTITION, "__place", *cluster_by]
+        ranged = staged.withColumn("__place", place)
+        ranged = ranged.repartitionByRange(files, *order) if files else ranged.repartitionByRange(*order)
+        _overwrite_months(spark, area, ranged.sortWithinPartitions(*order).drop("__place"), table)
     spark.catalog.refreshTable(table)
+    if months is None:
+        build_keys(spark, table)
 
 
 def rename_table_columns(spark: SparkSession, table: str, renames: dict[str, str]) -> None:

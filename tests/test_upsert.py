@@ -108,6 +108,117 @@ def test_compaction_keeps_the_rows_in_fewer_files(spark, database):
     assert codes == sorted(codes)
 
 
+def index_of(spark, table):
+    return {(r.accession_number, r.year_month) for r in spark.read.table(sinks.keys_table(table)).collect()}
+
+
+@pytest.mark.parametrize("mode", [RUN_DAILY, RUN_REPROCESS])
+def test_the_keys_cover_the_table_after_every_merge(spark, database, sides, mode):
+    table = f"{database}.reports"
+    for batch in (*sides, sides[0]):
+        sinks.upsert_reports(spark, batch, table, mode)
+        held = {(r.accession_number, r.year_month) for r in spark.read.table(table).collect()}
+        assert held <= index_of(spark, table)
+    assert spark.read.table(sinks.keys_table(table)).distinct().count() == spark.read.table(sinks.keys_table(table)).count()
+    sinks.compact_reports(spark, table)
+    assert index_of(spark, table) == {(r.accession_number, r.year_month) for r in spark.read.table(table).collect()}
+
+
+def test_a_batch_reads_the_key_folders_it_hits_and_no_key_of_the_table(spark, database, monkeypatch):
+    table = f"{database}.reports"
+    rows = [report(f"k{i:04}", f"2024-0{1 + i % 9}", "t") for i in range(2000)]
+    sinks.create_reports(spark.createDataFrame(rows, schemas.REPORTS), table)
+    batch = spark.createDataFrame([report("k0003", "2024-01", "new"), report("other", "2024-02", "new")], schemas.REPORTS)
+    hit = sinks.keys_hit(spark, table, batch)
+    everything = spark.read.table(sinks.keys_table(table))
+    assert len(hit.inputFiles()) <= 2 < 32 < len(everything.inputFiles())
+    assert hit.count() < everything.count() / 8
+    months = []
+    original = sinks._files_of
+    monkeypatch.setattr(sinks, "_files_of", lambda s, t, m: months.append(m) or original(s, t, m))
+    monkeypatch.setattr(sinks, "build_keys", None)
+    sinks.upsert_reports(spark, batch, table, RUN_DAILY)
+    assert months[0] == ["2024-01", "2024-02", "2024-04"]
+    found = by_key(spark.read.table(table))
+    assert len(found) == 2001 and found["k0003"][:2] == ("new", "2024-04")
+
+
+def test_keys_are_built_anew_for_a_table_that_came_from_elsewhere(spark, database, sides):
+    target, source = sides
+    table = f"{database}.reports"
+    sinks.upsert_reports(spark, source, table, RUN_DAILY)
+    spark.sql(f"DROP TABLE {table}")
+    target.write.partitionBy("year_month").saveAsTable(table)
+    sinks.upsert_reports(spark, source, table, RUN_DAILY)
+    assert by_key(spark.read.table(table)) == DAILY
+    spark.createDataFrame([report("z", "2024-01", "z")], schemas.REPORTS).write.insertInto(table)
+    sinks.forget_keys(spark, table)
+    sinks.upsert_reports(spark, spark.createDataFrame([report("z", "2024-07", "z2", NEW)], schemas.REPORTS), table, RUN_DAILY)
+    assert by_key(spark.read.table(table))["z"][:2] == ("z2", "2024-01")
+    assert spark.read.table(table).count() == 5
+
+
+def test_a_merge_that_fails_at_the_swap_can_be_repeated(spark, database, sides, monkeypatch):
+    target, source = sides
+    table = f"{database}.reports"
+    sinks.upsert_reports(spark, target, table, RUN_REPROCESS)
+    swap = sinks._replace_months
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "_replace_months", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        sinks.upsert_reports(spark, source, table, RUN_REPROCESS)
+    monkeypatch.setattr(sinks, "_replace_months", swap)
+    sinks.upsert_reports(spark, source, table, RUN_REPROCESS)
+    assert by_key(spark.read.table(table)) == ALL
+
+
+def spans(path, column):
+    """Least and greatest value of a column in each row group below a folder."""
+    import pyarrow.parquet as pq
+
+    found = []
+    for file in sorted(path.rglob("*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            place = next(k for k in range(group.num_columns) if group.column(k).path_in_schema == column)
+            stats = group.column(place).statistics
+            found.append((stats.min, stats.max))
+    return found
+
+
+def test_the_curve_narrows_every_column(spark, database):
+    import random
+    from pathlib import Path
+
+    rng = random.Random(9)
+    table = f"{database}.reports"
+    rows = []
+    for _ in range(6000):
+        key, code, minute = f"{rng.randrange(10**7):07}", rng.randrange(500), rng.randrange(40_000)
+        at = datetime.fromtimestamp(1704067200 + 60 * minute)
+        rows.append((1, 2, 3, key, code, 5, "t", at, "HSP", OLD, RUN_DAILY, "2024-01"))
+    rows.append((1, 2, 3, "none", None, 5, None, None, "HSP", OLD, RUN_DAILY, "2024-02"))
+    columns = ("accession_number", "procedure_code", "performed_at")
+    df = spark.createDataFrame(rows, schemas.REPORTS)
+    sinks.create_reports(df, table)
+    sinks.compact_reports(spark, table, cluster_by=columns, files=64)
+    assert sorted(map(repr, spark.read.table(table).collect())) == sorted(map(repr, df.select(*spark.read.table(table).columns).collect()))
+    where = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first().data_type
+    month = Path(where.removeprefix("file:")) / "year_month=2024-01"
+    for column in columns:
+        groups = spans(month, column)
+        values = sorted({r[3 if column == columns[0] else 4 if column == columns[1] else 7] for r in rows if r[7]})
+        some = values[:: len(values) // 20]
+        zone = groups[0][0].tzinfo if column == "performed_at" else None
+        probes = [v.astimezone(zone) if zone else v for v in some]
+        read = sum(a <= v <= b for v in probes for a, b in groups) / len(probes) / len(groups)
+        assert len(groups) >= 48 and read < 0.45, (column, read)
+
+
 def test_rename_columns(spark, database):
     table = f"{database}.reports"
     df = spark.createDataFrame([report("a", "2024-01", "x")], schemas.REPORTS)
