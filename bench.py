@@ -29,7 +29,7 @@ from reportlake.operators.filters import Catalogue, Filters  # noqa: E402
 from reportlake.operators.upsert import merge_all, merge_daily  # noqa: E402
 from reportlake.plans import dashboard, monitoring  # noqa: E402
 from reportlake.plans.backfill import run_backfill  # noqa: E402
-from reportlake.plans.daily import run_daily, window_rows  # noqa: E402
+from reportlake.plans.daily import run_daily, window_batch  # noqa: E402
 from reportlake.plans.structuring import structure_texts  # noqa: E402
 from reportlake.schemas import REPORTS, RUN_DAILY, RUN_MODES, RUN_REPROCESS  # noqa: E402
 from reportlake.session import local_session, staging  # noqa: E402
@@ -93,8 +93,8 @@ def main() -> None:
 
         def extract_window(name, start, end, mode):
             with staging(spark) as own:
-                _, found = window_rows(own, tables, codes, (start, end))
-                area.write(stamp(one_per_accession(found), mode, loaded), name)
+                _, found = window_batch(own, tables, codes, (start, end))
+                area.write(stamp(found, mode, loaded), name)
 
         timed(
             "extract_one_week",

@@ -20,7 +20,7 @@ from reportlake.session import Staging
 from reportlake.sources.sinks import compact_reports, create_reports, drop_reports, keys_table, upsert_reports
 from reportlake.sources.systems import SourceTables
 
-FIRST, PAST, DAYS = "1995-01-01", "1995-04-11", 30
+DAYS = 365
 
 
 @contextmanager
@@ -80,12 +80,13 @@ def _(data: Data) -> DataFrame:
         return _kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
 
 
-_BATCHED = with_reports() + f""", batched as (select *,
-      ((performed_date - date '{FIRST}') // {DAYS} + 1)::bigint as batch from joined
-    where performed_date >= date '{FIRST}' and performed_date < date '{PAST}'),
-  window_of as (select b as batch, date '{FIRST}' + ((b - 1) * {DAYS})::integer as first,
-      least(date '{FIRST}' + (b * {DAYS})::integer, date '{PAST}') as past
-    from (select unnest(range(1, 5)) as b)),
+_BATCHED = with_reports() + f""", span as (
+    select min(performed_date) as first, max(performed_date) + 1 as past from performed),
+  batched as (select j.*, ((performed_date - first) // {DAYS} + 1)::bigint as batch from joined j, span),
+  numbered as (select unnest(range(1, ((past - first + {DAYS - 1}) // {DAYS} + 1)::bigint)) as batch, first, past
+    from span),
+  window_of as (select batch, first + ((batch - 1) * {DAYS})::integer as first,
+      least(first + (batch * {DAYS})::integer, past) as past from numbered),
   outcome as (select w.batch, {day_sql('w.first')} as period_start, {day_sql('w.past')} as period_end,
       (select count(*) from performed p join procedure_cat c using (procedure_code)
         where c.active and p.performed_date >= w.first and p.performed_date < w.past) as performed,
@@ -95,9 +96,11 @@ _BATCHED = with_reports() + f""", batched as (select *,
 """
 
 
-def _backfill(data: Data, table: str, dry_run: bool = False) -> DataFrame:
+def _backfill(data: Data, table: str, dry_run: bool = False, **options) -> DataFrame:
+    """The whole history, from the first performed day to the last one."""
+    first, past = data.performed.agg(F.min("performed_date"), F.date_add(F.max("performed_date"), 1)).first()
     procedures = data.catalogue.procedures
-    return run_backfill(data.spark, _sources(data), procedures, _modes(data), table, FIRST, PAST, DAYS, dry_run)
+    return run_backfill(data.spark, _sources(data), procedures, _modes(data), table, first, past, DAYS, dry_run, **options)
 
 
 @query(
@@ -137,6 +140,33 @@ def _(data: Data) -> DataFrame:
         return _kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
 
 
+# A first run is ended after its third batch; the second one takes up what is left.
+@query(
+    "backfill_taken_up_again",
+    _BATCHED
+    + """select batch, period_start, period_end, case when batch <= 3 then 'skipped'
+           when reports_found > 0 then 'loaded' else 'empty' end as status, distinct_accessions as ledger_reports
+         from outcome""",
+)
+def _(data: Data) -> DataFrame:
+    with _own_table(data) as table, _own_table(data) as ledger:
+        noted = []
+
+        def ended(line: dict) -> None:
+            noted.append(line)
+            if len(noted) == 3:
+                raise KeyboardInterrupt
+
+        try:
+            _backfill(data, table, ledger=ledger, source_version="1", after_batch=ended)
+        except KeyboardInterrupt:
+            pass
+        results = _backfill(data, table, ledger=ledger, source_version="1")
+        lines = data.spark.read.table(ledger).select("period_start", F.col("reports_loaded").alias("ledger_reports"))
+        found = results.join(lines, "period_start", "left")
+        return _kept(data, found.select("batch", "period_start", "period_end", "status", "ledger_reports"))
+
+
 @query(
     "daily_metrics",
     with_reports()

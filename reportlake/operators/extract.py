@@ -128,10 +128,32 @@ def attach_reports(
     return attach_texts(attach_patients(performed, encounters, strict_source), reports)
 
 
+def choose_reports(with_patient: DataFrame, reports: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The rows that stay, one per accession number and value of ``also``, without their texts.
+
+    Only the hash of a text leaves the scan; it stays with the row, for ``fetch_texts``.
+    """
+    keys = attach_texts(with_patient, reports)
+    return one_per_accession(to_report_rows(keys, also=also, text=False), also, keep_hash=True)
+
+
+def fetch_texts(chosen: DataFrame, reports: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The texts of chosen rows: one shuffle of texts, or none if the rows are few enough to be sent.
+
+    Of equal texts under one key one is taken; the join has gathered them already.
+    """
+    keys = ["encounter_id", "occurrence_no", "order_no", "source", TEXT_HASH]
+    texts = reports.filter(non_blank("report_text")).withColumn(TEXT_HASH, F.xxhash64("report_text"))
+    return chosen.join(texts, keys).dropDuplicates([*keys, REPORT_KEY, *also]).drop(TEXT_HASH)
+
+
 def to_report_rows(
-    joined: DataFrame, strict_key: bool = False, also: Sequence[str] = ()
+    joined: DataFrame, strict_key: bool = False, also: Sequence[str] = (), text: bool = True
 ) -> DataFrame:
-    """Key, timestamp and partition month; helper columns go, but for those in ``also``."""
+    """Key, timestamp and partition month; helper columns go, but for those in ``also``.
+
+    ``text`` False leaves the report text out.
+    """
     separator = "-" if strict_key else ""
     return joined.select(
         "encounter_id",
@@ -142,7 +164,7 @@ def to_report_rows(
         ),
         "procedure_code",
         "patient_id",
-        "report_text",
+        *(["report_text"] if text else []),
         day_plus_seconds("performed_date", "performed_seconds").alias("performed_at"),
         "source",
         year_month("performed_date").alias("year_month"),
@@ -151,19 +173,16 @@ def to_report_rows(
     )
 
 
-def one_per_accession(rows: DataFrame) -> DataFrame:
-    """One row per accession number, always the same one.
+def one_per_accession(rows: DataFrame, also: Sequence[str] = (), keep_hash: bool = False) -> DataFrame:
+    """One row per accession number (and value of ``also``), always the same one.
 
     ``row_number() = 1`` is reduced before the shuffle (a partial group limit), so an
     accession number holding a large part of the rows sends one row per input task.
     """
     order = [F.col(c).asc_nulls_first() for c in (*TIE_BREAK, TEXT_HASH)]
-    ranked = Window.partitionBy(REPORT_KEY).orderBy(*order)
-    return (
-        rows.withColumn("__rank", F.row_number().over(ranked))
-        .filter(F.col("__rank") == 1)
-        .drop("__rank", TEXT_HASH)
-    )
+    ranked = Window.partitionBy(REPORT_KEY, *also).orderBy(*order)
+    kept = rows.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") == 1)
+    return kept.drop("__rank", *([] if keep_hash else [TEXT_HASH]))
 
 
 def stamp(rows: DataFrame, run_mode: str, loaded_at: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
@@ -11,6 +12,8 @@ from reportlake.operators.extract import (
     active_codes,
     attach_patients,
     attach_texts,
+    choose_reports,
+    fetch_texts,
     one_per_accession,
     performed_in_window,
     processing_window,
@@ -28,22 +31,54 @@ NOTHING_PERFORMED = "no procedure performed in the window"
 NO_REPORTS = "no report found in the window"
 
 
-def window_rows(
-    area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
-) -> tuple[DataFrame, DataFrame]:
-    """The performed procedures of a window, and the report rows they lead to.
+def _stage_window(area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]) -> DataFrame:
+    """The performed procedures of a window, staged; those with their patients as "with_patient".
 
     The narrow rows are staged before they meet the report texts. Their size is then
     known when that join is planned: a day or a week of them is sent to the texts, and
     the texts, which have no date to filter on, are scanned but not shuffled.
     """
     performed = area.write(performed_in_window(tables.performed, codes, *window), "performed")
+    if not performed.isEmpty():
+        area.write(attach_patients(performed, tables.encounters), "with_patient")
+    return performed
+
+
+def window_rows(
+    area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
+) -> tuple[DataFrame, DataFrame]:
+    """The performed procedures of a window, and all report rows they lead to."""
+    performed = _stage_window(area, tables, codes, window)
     if performed.isEmpty():
         return performed, performed.limit(0)
-    with_patient = area.write(attach_patients(performed, tables.encounters), "with_patient")
+    with_patient = area.read_back("with_patient")
     return performed, to_report_rows(attach_texts(with_patient, tables.reports, hash_below=False))
 
 
+def window_batch(
+    area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
+) -> tuple[DataFrame, DataFrame]:
+    """The performed procedures of a window, and one report row per accession number."""
+    performed = _stage_window(area, tables, codes, window)
+    if performed.isEmpty():
+        return performed, performed.limit(0)
+    return performed, deduplicated(area, "with_patient", tables.reports)
+
+
+def deduplicated(area: Staging, name: str, reports: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """One report row per accession number for staged rows; a text is shuffled once at most.
+
+    Few rows are sent to the texts, and only what matched is shuffled, for the choice. More
+    rows choose first, on keys and hashes of texts, and the chosen ones fetch their texts in
+    a second scan.
+    """
+    with_patient = area.read_back(name)
+    if area.small_enough(name):
+        return one_per_accession(to_report_rows(attach_texts(with_patient, reports, hash_below=False), also=also), also)
+    chosen = area.write(choose_reports(with_patient, reports, also), f"{name}_chosen")
+    return fetch_texts(chosen, reports, also)
+
+
 @dataclass(frozen=True)
 class RunOutcome:
     """What a run did; ``metrics`` is None when it ended early."""
@@ -76,11 +111,11 @@ def run_daily(
     if not active:
         return RunOutcome(NO_PROCEDURES, window)
     with staging(spark) as area:
-        performed, rows = window_rows(area, tables, codes, window)
+        performed, rows = window_batch(area, tables, codes, window)
         performed_rows = performed.count()
         if not performed_rows:
             return RunOutcome(NOTHING_PERFORMED, window)
-        batch = area.write(stamp(one_per_accession(rows), mode), "extracted")
+        batch = area.write(stamp(rows, mode), "extracted")
         loaded = batch.count()
         if not loaded:
             return RunOutcome(NO_REPORTS, window)

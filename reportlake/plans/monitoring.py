@@ -84,11 +84,15 @@ def dry_run_statistics(rows: DataFrame) -> DataFrame:
 
 
 def backfill_summary(batches: DataFrame) -> DataFrame:
-    """Batches by outcome, rows, minutes and mean seconds over the successful ones."""
+    """Batches by outcome, rows, minutes and mean seconds over the successful ones.
+
+    A batch that an earlier run had done is successful and takes no time.
+    """
     done = F.col("status").isin("loaded", "counted", "empty")
+    failed = F.col("status") == "failed"
     return batches.agg(
-        F.count_if(done).alias("batches_ok"),
-        F.count_if(~done).alias("batches_failed"),
+        F.count_if(~failed).alias("batches_ok"),
+        F.count_if(failed).alias("batches_failed"),
         F.coalesce(F.sum("performed"), F.lit(0)).alias("performed"),
         F.coalesce(F.sum("reports_found"), F.lit(0)).alias("reports_found"),
         F.coalesce(F.sum("reports_loaded"), F.lit(0)).alias("reports_loaded"),

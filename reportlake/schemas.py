@@ -78,7 +78,12 @@ JOB_METRICS = _struct(
 BATCH_RESULTS = _struct(
     "batch int, period_start date, period_end date, status string, performed bigint, "
     "reports_found bigint, reports_loaded bigint, distinct_accessions bigint, "
-    "distinct_procedures bigint, distinct_patients bigint, seconds double, error string"
+    "distinct_procedures bigint, distinct_patients bigint, seconds double, error string, "
+    "scan_error string"
+)
+BATCH_LEDGER = _struct(
+    "reports_table string, period_start date, period_end date, source_version string, "
+    "status string, reports_loaded bigint, finished_at timestamp"
 )
 
 # Nested shapes, as type strings for cast / from_json / pandas_udf.

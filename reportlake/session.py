@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join also where what follows then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -57,13 +59,19 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/reportlake-{uuid.uuid4().hex}"
         self.kept = False
+        self.schemas: dict[str, StructType] = {}
 
     def write(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
         """``folders``: columns whose values get a folder each."""
         path = f"{self.root}/{name}"
         df.write.mode("error").partitionBy(*folders).parquet(path)
+        self.schemas[name] = df.schema
         return self.read(name, df.schema)
 
+    def read_back(self, name: str) -> DataFrame:
+        """What was written under the name."""
+        return self.read(name, self.schemas[name])
+
     def read(self, name: str, schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
@@ -71,6 +79,11 @@ class Staging:
         path = self._path(name)
         return path.getFileSystem(self._conf()).getContentSummary(path).getLength()
 
+    def small_enough(self, name: str) -> bool:
+        """Whether Spark would broadcast a staged result, by its size on disk."""
+        limit = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return self.size_in_bytes(name) <= limit
+
     def keep(self) -> None:
         """Leave the folder in place when the block ends."""
         self.kept = True

@@ -181,12 +181,6 @@ def _replace_months(
     spark.catalog.refreshTable(table)
 
 
-def _small_enough(spark: SparkSession, area: Staging, name: str) -> bool:
-    """Whether Spark would broadcast the staged batch, by its size on disk."""
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return area.size_in_bytes(name) <= limit
-
-
 def upsert_reports(spark: SparkSession, batch: DataFrame, table: str, run_mode: str) -> None:
     """Apply a deduplicated batch by the rule of its run mode; creates a missing table."""
     with staging(spark) as area:
@@ -213,7 +207,7 @@ def merge_staged(
     touched = sorted(set(_months(source)) | set(_months(matched)))
     before = _files_of(spark, table, touched)
     affected = conform(spark.read.table(table), schema).filter(F.col(REPORT_PARTITION).isin(touched))
-    merged = rule(affected, source, small_source=_small_enough(spark, area, name))
+    merged = rule(affected, source, small_source=area.small_enough(name))
     staged = area.write(merged, "merged")
     if _files_of(spark, table, touched) != before:
         raise ChangedMeanwhile(f"{table}: months {', '.join(touched)} changed during the merge")

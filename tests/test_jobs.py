@@ -148,8 +148,8 @@ def test_a_backfill_reads_the_texts_once(spark, database, sources, procedures, m
 def test_a_dry_run_moves_no_text_and_jobs_hash_above_the_join(spark, sources, procedures, plan_of):
     with staging(spark) as area:
         codes = active_codes(procedures)
-        period = backfill._Period(area, sources, codes, date(2024, 1, 1), date(2024, 2, 1), 7)
-        assert period.counts()
+        windows = dict(enumerate(backfill.batch_windows("2024-01-01", "2024-02-01", 7), 1))
+        assert backfill._Part(area, sources, codes, windows, date(2024, 1, 1), 7).counts()
     with staging(spark) as area:
         _, rows = daily.window_rows(area, sources, codes, (date(2024, 1, 3), date(2024, 1, 5)))
         lines = plan_of(rows).splitlines()
@@ -179,6 +179,69 @@ def test_a_failing_batch_does_not_stop_the_others(spark, database, sources, proc
     assert summary.batches_failed >= 1
 
 
+def test_batches_are_read_by_halves_where_the_whole_fails(spark, database, sources, procedures, modes):
+    read = []
+    table = f"{database}.reports"
+    # a reading fails when it meets the second of January, whatever else it reads
+    performed = sources.performed.withColumn(
+        "performed_seconds", F.when(F.col("performed_date") == "2024-01-02", F.raise_error(F.lit("broken"))).otherwise(F.col("performed_seconds"))
+    )
+    broken = SourceTables(performed, sources.encounters, sources.reports)
+    rows = backfill.run_backfill(
+        spark, broken, procedures, modes, table, "2024-01-01", "2024-01-29", 7, after_batch=read.append
+    ).orderBy("batch").collect()
+    assert [r.status for r in rows] == [backfill.FAILED, *[backfill.LOADED] * 3]
+    assert "broken" in rows[0].error and all("broken" in r.scan_error for r in rows)
+    assert len(read) == 3
+    whole = f"{database}.whole"
+    fine = SourceTables(sources.performed.filter("performed_date >= '2024-01-08'"), sources.encounters, sources.reports)
+    backfill.run_backfill(spark, fine, procedures, modes, whole, "2024-01-08", "2024-01-29", 7)
+    assert contents(spark.read.table(table)) == contents(spark.read.table(whole))
+
+
+def test_a_backfill_goes_on_behind_its_ledger(spark, database, sources, procedures, modes):
+    table, ledger = f"{database}.reports", f"{database}.ledger"
+    args = (spark, sources, procedures, modes, table, "2024-01-01", "2024-02-01", 7)
+
+    def killed(outcome):
+        if outcome["batch"] == 2:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        backfill.run_backfill(*args, ledger=ledger, source_version="v1", after_batch=killed)
+    assert spark.read.table(ledger).count() == 2
+    again = backfill.run_backfill(*args, ledger=ledger, source_version="v1")
+    assert [r.status for r in again.orderBy("batch").collect()] == [*["skipped"] * 2, *["loaded"] * 3]
+    summary = monitoring.backfill_summary(again).first()
+    assert (summary.batches_ok, summary.batches_failed) == (5, 0)
+    whole = f"{database}.whole"
+    backfill.run_backfill(spark, sources, procedures, modes, whole, "2024-01-01", "2024-02-01", 31)
+    assert contents(spark.read.table(table)) == contents(spark.read.table(whole))
+    other = backfill.run_backfill(*args, ledger=ledger, source_version="v2")
+    assert {r.status for r in other.collect()} == {"loaded"}
+    assert spark.read.table(ledger).count() == 10
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_texts_are_shuffled_once(spark, sources, procedures, plan_of, threshold):
+    """The plan that loads a window exchanges report texts once, whichever side is small."""
+    expected = None
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    doubled = SourceTables(sources.performed, sources.encounters, sources.reports.union(sources.reports))
+    try:
+        with staging(spark) as area:
+            _, rows = daily.window_batch(area, doubled, active_codes(procedures), (date(2024, 1, 1), date(2024, 2, 1)))
+            plan = plan_of(rows, brief=False)
+            blocks = [b for b in plan.split("\n\n") if b.lstrip().startswith("(") and ") Exchange" in b.splitlines()[0]]
+            assert sum("report_text" in b for b in blocks) == 1
+            expected = sorted(map(tuple, rows.select("accession_number", "report_text", "source", "procedure_code").collect()))
+            whole = one_per_accession(extract_reports(sources.performed, sources.encounters, sources.reports, active_codes(procedures)))
+            assert expected == sorted(map(tuple, whole.select("accession_number", "report_text", "source", "procedure_code").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize(
     "start, end, days, expected",
     [("2024-01-01", "2024-01-15", 7, 2), ("2024-01-01", "2024-01-16", 7, 3), ("2024-01-01", "2024-01-02", 30, 1)],
