@@ -102,6 +102,8 @@ STRUCTURED_REPORTS = _struct(
     "formatted_text string, raw_prompt string, model string, temperature double, "
     "loaded_at timestamp"
 )
+# As a table: in the months of the reports.
+STRUCTURED_BY_MONTH = T.StructType([*STRUCTURED_REPORTS.fields, REPORTS[REPORT_PARTITION]])
 
 # Header names of the catalogue file (fixed values) and the columns they become.
 CSV_HEADERS = (

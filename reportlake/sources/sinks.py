@@ -106,6 +106,13 @@ def append_rows(df: DataFrame, table: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(table)
 
 
+def append_by_month(df: DataFrame, table: str) -> None:
+    """Append to a table with months; its keys are built anew by the next merge."""
+    rows = _by_month(df).write.mode("append").partitionBy(REPORT_PARTITION).format("parquet")
+    rows.saveAsTable(table)
+    forget_keys(df.sparkSession, table)
+
+
 def replace_table(
     spark: SparkSession, df: DataFrame, table: str, partitions: Sequence[str] = ()
 ) -> None:

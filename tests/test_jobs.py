@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +8,7 @@ from reportlake.operators.extract import active_codes, extract_reports, one_per_
 from reportlake.plans import backfill, daily, monitoring, structuring
 from reportlake.schemas import RUN_DAILY, RUN_REPROCESS
 from reportlake.session import staging
-from reportlake.sources import systems, tables
+from reportlake.sources import sinks, systems, tables
 from reportlake.sources.systems import JdbcSystem, SnapshotSystem, SourceTables
 
 
@@ -302,6 +302,46 @@ def test_structuring_job_appends_and_upserts(spark, database, sources, procedure
     assert "# Your report" in row.raw_prompt
 
 
+def test_structured_months_that_do_not_change_keep_their_files(spark, database):
+    reports, output = f"{database}.reports", f"{database}.structured"
+    rows = [
+        (n, 1, 2, f"k{n:02}", 1, 5, f"EXAME: x {n}\nACHADOS: ok.", datetime(2024, 1 + n % 4, 3), "HSP", datetime(2024, 5, 1), RUN_DAILY, f"2024-{1 + n % 4:02}")
+        for n in range(40)
+    ]
+    sinks.create_reports(spark.createDataFrame(rows, schemas.REPORTS), reports)
+    structuring.run_structuring(spark, reports, output, upsert=True)
+    files = lambda: {f for f in spark.read.table(output).inputFiles()}
+    before = files()
+    structuring.run_structuring(spark, reports, output, "2024-02-01", "2024-03-01", upsert=True, model="second")
+    spark.catalog.refreshTable(output)
+    changed = before ^ files()
+    assert changed and all("year_month=2024-02" in f for f in changed)
+    models = spark.read.table(output).groupBy("year_month", "model").count().collect()
+    assert sorted(map(tuple, models)) == [("2024-01", "rules", 10), ("2024-02", "second", 10), ("2024-03", "rules", 10), ("2024-04", "rules", 10)]
+    # a report that moved takes its result with it
+    moved = spark.createDataFrame([(*rows[0][:6], "EXAME: new\nACHADOS: ok.", datetime(2024, 4, 9), *rows[0][8:11], "2024-04")], schemas.REPORTS)
+    sinks.upsert_reports(spark, moved, reports, RUN_REPROCESS)
+    structuring.run_structuring(spark, reports, output, "2024-04-01", "2024-05-01", upsert=True, model="third")
+    found = {r.accession_number: r for r in spark.read.table(output).collect()}
+    assert len(found) == 40 == spark.read.table(output).count()
+    assert found["k00"].year_month == "2024-04" and found["k00"].formatted_text.startswith("EXAME: new")
+    # rows that were appended are found by the next upsert
+    structuring.run_structuring(spark, reports, output, "2024-03-01", "2024-04-01", model="appended")
+    structuring.run_structuring(spark, reports, output, "2024-03-01", "2024-04-01", model="last", upsert=True)
+    again = spark.read.table(output).filter("year_month = '2024-03'")
+    assert {r.model for r in again.collect()} == {"last"} and again.count() == 20
+
+
+def test_an_output_without_months_is_kept_as_it_is(spark, database, sources, procedures, modes):
+    reports, output = f"{database}.reports", f"{database}.structured"
+    daily.run_daily(spark, sources, procedures, modes, reports, mode=RUN_REPROCESS, day_to_process="2024-01-30", back_days=30)
+    spark.createDataFrame([], schemas.STRUCTURED_REPORTS).write.saveAsTable(output)
+    structuring.run_structuring(spark, reports, output, limit=5)
+    structuring.run_structuring(spark, reports, output, limit=7, upsert=True)
+    found = spark.read.table(output)
+    assert found.columns == schemas.STRUCTURED_REPORTS.fieldNames() and found.count() == 7
+
+
 def test_select_reports_refuses_a_bad_date(spark, sources):
     with pytest.raises(ValueError):
         structuring.select_reports(sources.reports, "01-02-2024")
