@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.extraction import MERGE_SQL, REPORT_COLUMNS, T0, _merge_view, _merged_sql, merge_sides, with_digest
 from checks.registry import day_sql, query
-from checks.standins import Data, with_reports, with_standins
+from checks.standins import Data, kept, own_table, with_reports, with_standins
 from reportlake.operators.csv_import import read_catalogue_csv
 from reportlake.plans.backfill import run_backfill
 from reportlake.plans.daily import run_daily
 from reportlake.plans.monitoring import backfill_summary
 from reportlake.schemas import CSV_COLUMNS, CSV_HEADERS, RUN_DAILY, RUN_MODES, RUN_REPROCESS
 from reportlake.session import Staging
-from reportlake.sources.sinks import compact_reports, create_reports, drop_reports, keys_table, upsert_reports
+from reportlake.sources.sinks import compact_reports, create_reports, keys_table, upsert_reports
 from reportlake.sources.systems import SourceTables
 
 DAYS = 365
 
 
-@contextmanager
-def _own_table(data: Data):
-    name = f"checks_{uuid.uuid4().hex}"
-    try:
-        yield name
-    finally:
-        drop_reports(data.spark, name)
-
-
-def _kept(data: Data, rows: DataFrame) -> DataFrame:
-    """A copy that outlives the table it was read from."""
-    return Staging(data.spark).write(rows, "rows")
-
-
 def _sources(data: Data) -> SourceTables:
     return SourceTables(data.performed, data.table("encounter"), data.table("report"))
 
@@ -49,11 +32,11 @@ for _mode, _name, _other in ((RUN_DAILY, "daily", "not old"), (RUN_REPROCESS, "r
 
     def _through_table(data: Data, mode=_mode) -> DataFrame:
         old, new = merge_sides(data)
-        with _own_table(data) as table:
+        with own_table(data) as table:
             create_reports(old, table)
             upsert_reports(data.spark, new, table, mode)
             compact_reports(data.spark, table)
-            return _kept(data, _merge_view(data.spark.read.table(table)))
+            return kept(data, _merge_view(data.spark.read.table(table)))
 
     query(f"upsert_through_table_{_name}", _merged_sql(_other))(_through_table)
 
@@ -65,19 +48,19 @@ for _mode, _name, _other in ((RUN_DAILY, "daily", "not old"), (RUN_REPROCESS, "r
 )
 def _(data: Data) -> DataFrame:
     old, new = merge_sides(data)
-    with _own_table(data) as table:
+    with own_table(data) as table:
         create_reports(old, table)
         upsert_reports(data.spark, new, table, RUN_REPROCESS)
         compact_reports(data.spark, table)
-        return _kept(data, data.spark.read.table(keys_table(table)).drop("bucket"))
+        return kept(data, data.spark.read.table(keys_table(table)).drop("bucket"))
 
 
 @query("clustered_reports", with_reports() + f"select {REPORT_COLUMNS} from reports")
 def _(data: Data) -> DataFrame:
-    with _own_table(data) as table:
+    with own_table(data) as table:
         create_reports(data.stamped(T0), table)
         compact_reports(data.spark, table, cluster_by=("accession_number", "procedure_code", "performed_at"))
-        return _kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
+        return kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
 
 
 _BATCHED = with_reports() + f""", span as (
@@ -110,7 +93,7 @@ def _backfill(data: Data, table: str, dry_run: bool = False, **options) -> DataF
            performed, reports_found, nullif(distinct_accessions, 0) as reports_loaded from outcome""",
 )
 def _(data: Data) -> DataFrame:
-    with _own_table(data) as table:
+    with own_table(data) as table:
         return _backfill(data, table).select(
             "batch", "period_start", "period_end", "status", "performed", "reports_found", "reports_loaded"
         )
@@ -135,9 +118,9 @@ def _(data: Data) -> DataFrame:
              patient_id, performed_at) = 1""",
 )
 def _(data: Data) -> DataFrame:
-    with _own_table(data) as table:
+    with own_table(data) as table:
         _backfill(data, table)
-        return _kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
+        return kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
 
 
 # A first run is ended after its third batch; the second one takes up what is left.
@@ -149,7 +132,7 @@ def _(data: Data) -> DataFrame:
          from outcome""",
 )
 def _(data: Data) -> DataFrame:
-    with _own_table(data) as table, _own_table(data) as ledger:
+    with own_table(data) as table, own_table(data) as ledger:
         noted = []
 
         def ended(line: dict) -> None:
@@ -164,7 +147,7 @@ def _(data: Data) -> DataFrame:
         results = _backfill(data, table, ledger=ledger, source_version="1")
         lines = data.spark.read.table(ledger).select("period_start", F.col("reports_loaded").alias("ledger_reports"))
         found = results.join(lines, "period_start", "left")
-        return _kept(data, found.select("batch", "period_start", "period_end", "status", "ledger_reports"))
+        return kept(data, found.select("batch", "period_start", "period_end", "status", "ledger_reports"))
 
 
 @query(
@@ -179,12 +162,12 @@ def _(data: Data) -> DataFrame:
          from day""",
 )
 def _(data: Data) -> DataFrame:
-    with _own_table(data) as table, _own_table(data) as metrics:
+    with own_table(data) as table, own_table(data) as metrics:
         run_daily(
             data.spark, _sources(data), data.catalogue.procedures, _modes(data), table, metrics,
             day_to_process="1996-05-06",
         )
-        return _kept(data, data.spark.read.table(metrics).drop("run_at"))
+        return kept(data, data.spark.read.table(metrics).drop("run_at"))
 
 
 _CSV = ", ".join(CSV_COLUMNS)

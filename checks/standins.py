@@ -6,6 +6,8 @@ of the derivation. Every row and every whole text of the inputs takes part.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from reportlake.operators.extract import (
 )
 from reportlake.operators.filters import Catalogue
 from reportlake.schemas import RUN_DAILY
+from reportlake.session import Staging
+from reportlake.sources.sinks import drop_reports
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -243,3 +247,18 @@ class Data:
         return stamp(
             self.reports if rows is None else rows, mode, F.lit(loaded_at).cast("timestamp")
         )
+
+
+@contextmanager
+def own_table(data: Data):
+    """The name of a table that is gone afterwards."""
+    name = f"checks_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        drop_reports(data.spark, name)
+
+
+def kept(data: Data, rows: DataFrame) -> DataFrame:
+    """A copy that outlives the table it was read from."""
+    return Staging(data.spark).write(rows, "rows")

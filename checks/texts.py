@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.standins import Data, with_standins
+from checks.standins import Data, kept, own_table, with_standins
 from reportlake.functions import text as cleaning
 from reportlake.functions.scalars import strip
 from reportlake.operators import extractors, structure
 from reportlake.operators.prompts import load_examples, prompt_column, prompt_text
-from reportlake.plans.structuring import select_reports, structure_texts, structured_reports
+from reportlake.plans.structuring import run_structuring, select_reports, structure_texts, structured_reports
+from reportlake.schemas import EXTRACTIONS
+from reportlake.sources.sinks import create_reports
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 RSTRIP = r"regexp_replace({}, '\s+$', '')"
@@ -493,6 +495,37 @@ def _(data: Data) -> DataFrame:
     return rows.select("doc_id", "n", "s.start_pos", "s.end_pos")
 
 
+# The first ten words, the fifth misspelt: they are found at the start.
+_FIRST_WORDS = r"regexp_extract(text, '^(\s*)((?:\S+\s+){9}\S+)', 2)"
+
+
+@query(
+    "aligned_damaged_sentences",
+    rf"""with cut as (select doc_id, text, {_FIRST_WORDS} as start from documents where {_FIRST_WORDS} <> '')
+        select doc_id, 'match_fuzzy' as status, (strpos(text, start) - 1)::bigint as start_pos,
+          (strpos(text, start) - 1 + length(start))::bigint as end_pos from cut""",
+)
+def _(data: Data) -> DataFrame:
+    words = F.split(F.regexp_replace("text", r"^\s+", ""), r"\s+")
+    long = data.base("documents").select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 10)
+    damaged = F.transform(F.slice("w", 1, 10), lambda word, i: F.when(i == 4, F.concat(word, F.lit("‡"))).otherwise(word))
+    found = F.array(
+        F.struct(
+            F.array_join(damaged, " ").alias("extraction_text"),
+            F.lit("findings_body").alias("extraction_class"),
+            F.lit(None).alias("attributes"),
+            F.lit(None).alias("char_interval"),
+            F.lit(None).alias("alignment_status"),
+        )
+    ).cast(EXTRACTIONS)
+    done = extractors.align(long.withColumn("extractions", found), "text")
+    one = F.get("extractions", 0)
+    return done.filter(F.col("w")[9] != "").select(
+        "doc_id", one["alignment_status"].alias("status"), one["char_interval"]["start_pos"].alias("start_pos"),
+        one["char_interval"]["end_pos"].alias("end_pos"),
+    )
+
+
 # A chunk is the longest stretch of at most 500 characters that ends behind a line end, or
 # behind . ! or ? before white space or the end of the text; without one, 500 characters.
 @query(
@@ -623,6 +656,28 @@ def _(data: Data) -> DataFrame:
     )
 
 
+# All reports, then those of one month again by another model: the others keep their rows.
+@query(
+    "structured_through_table",
+    HEADED
+    + f", prepared as ({_chain(SANITIZE + NORMALIZE, 'nfc_normalize(text)', 'headed')})"
+    + _rule_spans_sql("prepared")
+    + SECTIONS
+    + """, dated as (select doc_id, strftime(date '2000-01-01' + (doc_id % 400)::integer, '%Y-%m') as year_month
+      from prepared)
+  select doc_id::varchar as accession_number, formatted_text, year_month,
+    case when year_month = '2000-03' then 'second' else 'rules' end as model
+  from dated join formatted using (doc_id)""",
+)
+def _(data: Data) -> DataFrame:
+    with own_table(data) as reports, own_table(data) as output:
+        create_reports(as_reports(data).withColumn("year_month", F.date_format("performed_at", "yyyy-MM")), reports)
+        run_structuring(data.spark, reports, output, upsert=True)
+        run_structuring(data.spark, reports, output, "2000-03-01", "2000-04-01", upsert=True, model="second")
+        columns = ("accession_number", "formatted_text", "year_month", "model")
+        return kept(data, data.spark.read.table(output).select(*columns))
+
+
 def _answers(text: str) -> list[dict]:
     """An extractor that fails on some texts and answers with wrong types on others."""
     kind = len(text) % 7

@@ -8,7 +8,6 @@ and turns a failure into the row's error.
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportlake.functions.scalars import BLANKS, bind, lstrip, non_blank, strip
+from reportlake.operators.alignment import closest_span
 from reportlake.operators.structure import (
     SECTION_ATTRIBUTE,
     SIGNIFICANCE_ATTRIBUTE,
@@ -374,42 +374,12 @@ def locate_exact(text: Column, wanted: Column) -> Column:
     )
 
 
-def closest_span(text: str, wanted: str, threshold: float = FUZZY_THRESHOLD):
-    """The run of words most similar to ``wanted``, if similar enough.
-
-    Similar means sharing words; among equals the spelling decides, then the position.
-    """
-    words = list(re.finditer(r"\S+", text))
-    sought = wanted.lower().split()
-    if not words or not sought:
-        return None
-    size = min(len(sought), len(words))
-    lowered = [w.group().lower() for w in words]
-    by_word = difflib.SequenceMatcher(autojunk=False)
-    by_word.set_seq2(sought)
-    by_letter = difflib.SequenceMatcher(autojunk=False)
-    by_letter.set_seq2(" ".join(sought))
-    best, best_at = (threshold, 0.0), None
-    for at in range(len(words) - size + 1):
-        window = lowered[at : at + size]
-        by_word.set_seq1(window)
-        if by_word.quick_ratio() < best[0] or by_word.ratio() < best[0]:
-            continue
-        by_letter.set_seq1(" ".join(window))
-        score = (by_word.ratio(), by_letter.ratio())
-        if score > best:
-            best, best_at = score, at
-    if best_at is None:
-        return None
-    return {"start_pos": words[best_at].start(), "end_pos": words[best_at + size - 1].end()}
-
-
 @F.pandas_udf(T.ArrayType(_SPAN_TYPE))
 def _closest_spans(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     def one(text, missing):
         if text is None or missing is None:
             return None
-        return [closest_span(text, w) if w else None for w in missing]
+        return [closest_span(text, w, FUZZY_THRESHOLD) if w else None for w in missing]
 
     return pd.Series([one(t, w) for t, w in zip(texts, wanted)], dtype=object)
 
@@ -436,7 +406,7 @@ def align_exact(extractions: Column, text: Column) -> Column:
 
 
 def align(reports: DataFrame, text: str, extractions: str = "extractions") -> DataFrame:
-    """Fills missing intervals: exactly where possible, else by similarity.
+    """Fills missing intervals: exactly where possible, else by the fewest changed words.
 
     Only reports that still have an open extraction are sent to Python.
     """
