@@ -107,6 +107,21 @@ def _(data: Data) -> DataFrame:
     )
 
 
+# Read by a wrong code page: whole texts once or twice, or the second half alone.
+@query("repair_wrong_code_page", "select doc_id, nfc_normalize(text) as text from documents")
+def _(data: Data) -> DataFrame:
+    def misread(text):
+        return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+    text, half = F.col("text"), F.floor(F.char_length("text") / 2).cast("int")
+    first, second = F.substring("text", 1, half), F.substring("text", half + 1, F.char_length("text"))
+    kind = F.col("doc_id") % 3
+    damaged = F.when(kind == 0, misread(text)).when(kind == 1, misread(misread(text))).otherwise(
+        F.concat(first, misread(second))
+    )
+    return data.base("documents").select("doc_id", cleaning.repair_unicode(damaged).alias("text"))
+
+
 # --- Segments from one extraction per row ---------------------------------------
 
 SEGMENTS = (

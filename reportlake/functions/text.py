@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reportlake.functions.mojibake import SUSPECT, undo_pages
 from reportlake.functions.scalars import BLANKS, ColumnOrName, _col, bind, strip
 
 # Symbols and what replaces them.
@@ -139,6 +140,8 @@ _MOJIBAKE = (
     rf"|(?:[\u00C6-\u00DF][{_CONTINUATION}]){{2,}}"
     rf"|(?:[\u00E0-\u00EF][{_CONTINUATION}]{{2}})+|(?:[\u00F0-\u00F4][{_CONTINUATION}]{{3}})+"
 )
+# "\u00E0" whose second byte, a hard space, became an ordinary one.
+_SPLIT_A = re.compile(r"(?<!\w)\u00C3(?: (?= )|(?= \w))")
 _ENTITY = r"&#?[A-Za-z0-9]+;"
 # Combining marks, jamo and the compatibility singletons: what NFC can change.
 _NOT_NFC = (
@@ -198,6 +201,13 @@ def undo_mojibake(text: str) -> str:
     return text
 
 
+def undo_damage(text: str) -> str:
+    """Damage by one code page after another is undone from the last one on, until nothing changes."""
+    while (repaired := undo_mojibake(undo_pages(_SPLIT_A.sub("\u00E0", text)))) != text:
+        text = repaired
+    return text
+
+
 @F.pandas_udf(T.StringType())
 def _repair(texts: pd.Series) -> pd.Series:
     def one(text):
@@ -205,7 +215,7 @@ def _repair(texts: pd.Series) -> pd.Series:
             return None
         if "<" not in text:
             text = html.unescape(text)
-        return unicodedata.normalize("NFC", undo_mojibake(text))
+        return unicodedata.normalize("NFC", undo_damage(text))
 
     return texts.map(one, na_action="ignore")
 
@@ -218,7 +228,7 @@ def repair_unicode(text: ColumnOrName) -> Column:
     """HTML entities, mojibake, ligatures, widths, quotes, line breaks, controls, NFC."""
     raw = _col(text)
     not_nfc = raw.rlike(_MAYBE_NOT_NFC) & raw.rlike(_NOT_NFC)
-    suspect = raw.rlike(_ENTITY) | raw.rlike(_MOJIBAKE) | not_nfc
+    suspect = raw.rlike(_ENTITY) | raw.rlike(_MOJIBAKE) | raw.rlike(SUSPECT) | raw.rlike(_SPLIT_A.pattern) | not_nfc
     out = F.coalesce(_repair(F.when(suspect, raw)), raw)
     out = _replace_all(out, WIDE | QUOTES | LIGATURES)
     out = F.regexp_replace(out, _ESCAPE_SEQUENCE, "")
