@@ -17,9 +17,7 @@ def overlap(doc, item):
     """Whether aligned words of any window are equal often enough, tried everywhere."""
     size = min(len(item), d.WINDOW)
     need = math.ceil(size * d.SHARE - 1e-9)
-    if len(item) < d.SPAN:
-        return False
-    for a in range(-size, len(doc)):
+    for a in range(-size, len(doc)) if item else ():
         for b in range(len(item) - size + 1):
             if sum(0 <= a + k < len(doc) and doc[a + k] == item[b + k] for k in range(size)) >= need:
                 return True
@@ -66,6 +64,44 @@ def test_overlaps_against_brute_force(docs_of, spark, monkeypatch):
     assert d.overlaps(docs_of(rows), benchmark(spark, [])).count() == 0
 
 
+def test_every_admitted_substitution_is_found_in_items_of_any_size(docs_of, spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 21)]
+    rows = []
+    for n, text in items:
+        item = text.split()
+        size = min(n, d.WINDOW)
+        for gone in range(size - d.needed(size) + 2):  # one more than is admitted as well
+            for places in itertools.combinations(range(size), gone):
+                shift = rng.randrange(n - size + 1)
+                own = [f"q{k}" if k - shift in places else w for k, w in enumerate(item)]
+                own = own[shift : shift + size] if n >= d.WINDOW else own
+                rows.append((len(rows), " ".join([*rng.choices("abc", k=rng.randrange(4)), *own, *rng.choices("abc", k=rng.randrange(3))])))
+    table = benchmark(spark, [(i, t, "x") for i, t in items] + [(50, items[14][1], "x"), (60, "", None), (61, None, None)])
+    split = {i: t.split() for i, t in items} | {50: items[14][1].split()}
+    want = sorted((i, j) for i, t in rows for j, u in split.items() if overlap(t.split(), u))
+    assert len(want) > 700
+    for most in (d.BLOCK_SEEDS, 60):
+        monkeypatch.setattr(d, "BLOCK_SEEDS", most)
+        assert sorted((r.doc_id, r.item_id) for r in d.overlaps(docs_of(rows), table).collect()) == want
+        kept = {r.doc_id for r in d.drop_contaminated(docs_of(rows), table).collect()}
+        assert kept == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_a_passage_in_half_of_the_items_is_one_seed_row(docs_of, spark, monkeypatch):
+    common = " ".join(f"c{k}" for k in range(20))
+    items = [(i, (common + " " if i % 2 else "") + " ".join(f"i{i}x{k}" for k in range(15))) for i in range(60)]
+    rows = [(i, f"start {common} end" if i % 3 == 0 else f"clean {i} text " * 6) for i in range(30)]
+    table = benchmark(spark, [(i, t, "x") for i, t in items])
+    shared = d.benchmark_seeds(table).where(F.array_contains("item_words", "c2"))
+    assert shared.drop("item_id").distinct().count() < shared.count() / 3
+    monkeypatch.setattr(d, "BLOCK_SEEDS", 500)
+    kept = {r.doc_id for r in d.drop_contaminated(docs_of(rows), table).collect()}
+    assert kept == {i for i in range(30) if i % 3}
+    found = d.overlaps(docs_of(rows), table).groupBy("doc_id").count().collect()
+    assert {tuple(r) for r in found} == {(i, 30) for i in range(0, 30, 3)}
+
+
 def test_short_items_are_found_without_substitution(docs_of, spark):
     item = "one two three four five six seven eight"
     found = d.overlaps(docs_of([(1, f"a {item} b"), (2, "one two")]), benchmark(spark, [(1, item, None)]))
