@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -386,12 +388,25 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
 
+def _apart(more: list, base: list) -> list:
+    """Those of ``more`` that overlap none of ``base``."""
+    placed = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in placed]
+    reach = list(accumulate((b for _, b in placed), max))
+    out = []
+    for span in more:
+        before = bisect_left(starts, span[2])
+        if not before or reach[before - 1] <= span[1]:
+            out.append(span)
+    return out
+
+
 def find(texts: list[str], decoder: Decoder) -> list[tuple]:
     """(counts by kind, digest of the base spans, all spans) of each text."""
     out = []
     for text, more in zip(texts, field_spans(texts, decoder)):
         base = base_spans(text)
-        new = [x for x in more if all(x[2] <= a or b <= x[1] for _, a, b in base)]
+        new = _apart(more, base)
         both = sorted(base + new, key=lambda x: (KINDS.index(x[0]), x[1]))
         counts = [sum(x[0] == kind for x in base) for kind in KINDS]
         out.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(both)))

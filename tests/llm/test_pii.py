@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -109,3 +110,15 @@ def test_training_fits_the_table(decoder):
         for text, spans in pii.labelled_lines()
     )
     assert wrong <= 1
+
+
+def test_spans_apart_from_others_in_a_text_of_many():
+    rng = random.Random(2)
+    for _ in range(300):
+        cut = lambda n: [("x", a, a + rng.randint(1, 9)) for a in rng.choices(range(60), k=rng.randint(0, n))]
+        more, base = cut(12), cut(6)
+        assert pii._apart(more, base) == [x for x in more if all(x[2] <= a or b <= x[1] for _, a, b in base)]
+    text = " ".join(f"person{k}@example.org lives at Main Street {k}" for k in range(20_000))
+    began = time.time()
+    pii._apart([("x", k, k + 3) for k in range(0, len(text), 5)], pii.base_spans(text))
+    assert time.time() - began < 5
