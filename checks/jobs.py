@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.extraction import MERGE_SQL, REPORT_COLUMNS, T0, _merge_view, _merged_sql, merge_sides, with_digest
-from checks.registry import day_sql, query
+from checks.dashboard import today
+from checks.registry import ORACLES, day_sql, query
 from checks.standins import Data, kept, own_table, with_reports, with_standins
 from reportlake.operators.csv_import import read_catalogue_csv
+from reportlake.operators.filters import Filters
+from reportlake.plans import dashboard
 from reportlake.plans.backfill import run_backfill
 from reportlake.plans.daily import run_daily
 from reportlake.plans.monitoring import backfill_summary
 from reportlake.schemas import CSV_COLUMNS, CSV_HEADERS, RUN_DAILY, RUN_MODES, RUN_REPROCESS
 from reportlake.session import Staging
-from reportlake.sources.sinks import compact_reports, create_reports, keys_table, upsert_reports
+from reportlake.sources.sinks import compact_reports, create_reports, keys_table, read_reports, upsert_reports
 from reportlake.sources.systems import SourceTables
 
 DAYS = 365
@@ -63,6 +66,20 @@ def _(data: Data) -> DataFrame:
         return kept(data, with_digest(data.spark.read.table(table).drop("loaded_at", "run_mode")))
 
 
+# The period prunes months by what the table says of itself.
+for _period in ("kpi_row_last_90_days_pruned", "by_source_last_365_days"):
+
+    @query(f"{_period.replace('_pruned', '')}_of_table", ORACLES[_period])
+    def _(data: Data, period=_period) -> DataFrame:
+        with own_table(data) as table:
+            create_reports(data.stamped(T0), table)
+            reports = read_reports(data.spark, table)
+            if period.startswith("kpi_row"):
+                return kept(data, dashboard.kpi_row(reports, data.catalogue, Filters(last_days=90, as_of=today(data))))
+            filters = Filters(last_days=365, as_of=today(data), sources=["HSP", "PSC"])
+            return kept(data, dashboard.by_source(reports, data.catalogue, filters))
+
+
 _BATCHED = with_reports() + f""", span as (
     select min(performed_date) as first, max(performed_date) + 1 as past from performed),
   batched as (select j.*, ((performed_date - first) // {DAYS} + 1)::bigint as batch from joined j, span),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.scalars import day
 from reportlake.operators.slots import slot_rows
+from reportlake.schemas import MONTH_SLACK, REPORT_PARTITION
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,8 @@ class Filters:
     ``sources`` None means no filter and an empty list means no rows. ``modalities``
     filters only when some but not all of ``modality_options`` are picked.
     ``month_slack`` lets the period prune month partitions: it is the number of months
-    ``performed_at`` may lie after ``year_month``; None prunes by file statistics only.
+    ``performed_at`` may lie after ``year_month``. None takes what the report table says of
+    itself (see ``sinks.read_reports``); other rows are pruned by file statistics only.
     """
 
     last_days: int | None = None
@@ -63,14 +65,21 @@ def within_last_days(
     return rows.filter(F.col(column) >= since_day(Filters(last_days=days, as_of=as_of)))
 
 
+def month_slack(reports: DataFrame, filters: Filters) -> int | None:
+    if filters.month_slack is not None or REPORT_PARTITION not in reports.columns:
+        return filters.month_slack
+    return reports.schema[REPORT_PARTITION].metadata.get(MONTH_SLACK)
+
+
 def report_filter(reports: DataFrame, filters: Filters) -> DataFrame:
     """Period and source; both reach the scan."""
     out = reports
     first = since_day(filters)
     if first is not None:
         out = out.filter(F.col("performed_at") >= first)
-        if filters.month_slack is not None:
-            earliest = F.add_months(first, -filters.month_slack)
+        slack = month_slack(reports, filters)
+        if slack is not None:
+            earliest = F.add_months(first, -slack)
             out = out.filter(F.col("year_month") >= F.date_format(earliest, "yyyy-MM"))
     if filters.sources is not None:
         picked = F.col("source").isin(list(filters.sources)) if filters.sources else F.lit(False)

@@ -31,8 +31,12 @@ NOTHING_PERFORMED = "no procedure performed in the window"
 NO_REPORTS = "no report found in the window"
 
 
-def _stage_window(area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]) -> DataFrame:
-    """The performed procedures of a window, staged; those with their patients as "with_patient".
+def _stage_window(
+    area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
+) -> tuple[DataFrame, SourceTables]:
+    """The performed procedures of a window, staged, and the sources narrowed to their keys.
+
+    Those with their patients are staged as "with_patient".
 
     The narrow rows are staged before they meet the report texts. Their size is then
     known when that join is planned: a day or a week of them is sent to the texts, and
@@ -40,15 +44,16 @@ def _stage_window(area: Staging, tables: SourceTables, codes: DataFrame, window:
     """
     performed = area.write(performed_in_window(tables.performed, codes, *window), "performed")
     if not performed.isEmpty():
+        tables = tables.narrowed(performed)
         area.write(attach_patients(performed, tables.encounters), "with_patient")
-    return performed
+    return performed, tables
 
 
 def window_rows(
     area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
 ) -> tuple[DataFrame, DataFrame]:
     """The performed procedures of a window, and all report rows they lead to."""
-    performed = _stage_window(area, tables, codes, window)
+    performed, tables = _stage_window(area, tables, codes, window)
     if performed.isEmpty():
         return performed, performed.limit(0)
     with_patient = area.read_back("with_patient")
@@ -59,7 +64,7 @@ def window_batch(
     area: Staging, tables: SourceTables, codes: DataFrame, window: tuple[date, date]
 ) -> tuple[DataFrame, DataFrame]:
     """The performed procedures of a window, and one report row per accession number."""
-    performed = _stage_window(area, tables, codes, window)
+    performed, tables = _stage_window(area, tables, codes, window)
     if performed.isEmpty():
         return performed, performed.limit(0)
     return performed, deduplicated(area, "with_patient", tables.reports)

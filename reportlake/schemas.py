@@ -51,6 +51,8 @@ REPORTS = _struct(
 )
 REPORT_KEY = "accession_number"
 REPORT_PARTITION = "year_month"
+# Table property and column metadata: months that performed_at may lie behind year_month.
+MONTH_SLACK = "reportlake.month_slack"
 
 MODALITIES = _struct(
     "modality_id bigint, modality_name string, active boolean, "

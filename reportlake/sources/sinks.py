@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from reportlake.operators.curve import curve_key, quantiles
 from reportlake.operators.upsert import merge_all, merge_daily
-from reportlake.schemas import REPORT_KEY, REPORT_PARTITION, REPORTS, RUN_DAILY
+from reportlake.schemas import MONTH_SLACK, REPORT_KEY, REPORT_PARTITION, REPORTS, RUN_DAILY
 from reportlake.session import Staging, staging
 from reportlake.sources.tables import conform, rename_columns, table_exists
 
@@ -50,6 +50,32 @@ def create_reports(df: DataFrame, table: str) -> None:
         .saveAsTable(table)
     )
     build_keys(df.sparkSession, table)
+    _note_slack(df.sparkSession, table)
+
+
+def _note_slack(spark: SparkSession, table: str, added: DataFrame | None = None) -> None:
+    """Keeps with the table by how many months ``performed_at`` lies behind its month at most.
+
+    Seconds past midnight can push a report beyond its month. ``added`` are the rows of a
+    merge; without them, or if nothing is known yet, the whole table is looked at.
+    """
+    known = _property(spark, table, MONTH_SLACK)
+    rows = spark.read.table(table) if known is None or added is None else added
+    if "performed_at" not in rows.columns:
+        return
+    month = F.to_date(F.concat(REPORT_PARTITION, F.lit("-01")))
+    behind = F.months_between(F.trunc("performed_at", "MM"), month)
+    most = int(rows.agg(F.coalesce(F.max(behind), F.lit(0.0)).alias("m")).first().m)
+    most = max(0, most, int(known or 0) if added is not None else 0)
+    if known is None or most != int(known):
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{MONTH_SLACK}' = '{most}')")
+
+
+def read_reports(spark: SparkSession, table: str) -> DataFrame:
+    """The report table; its month column says what a period may prune (``filters.month_slack``)."""
+    rows = spark.read.table(table)
+    slack = _property(spark, table, MONTH_SLACK)
+    return rows if slack is None else rows.withMetadata(REPORT_PARTITION, {MONTH_SLACK: int(slack)})
 
 
 def drop_reports(spark: SparkSession, table: str) -> None:
@@ -87,7 +113,7 @@ def build_keys(spark: SparkSession, table: str, buckets: int = KEY_BUCKETS) -> N
 
 def forget_keys(spark: SparkSession, table: str) -> None:
     """After rows came in by another way than a merge."""
-    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{KEYS_TAG}')")
+    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{KEYS_TAG}', '{MONTH_SLACK}')")
 
 
 def keys_hit(spark: SparkSession, table: str, source: DataFrame) -> DataFrame:
@@ -219,6 +245,7 @@ def merge_staged(
     if _files_of(spark, table, touched) != before:
         raise ChangedMeanwhile(f"{table}: months {', '.join(touched)} changed during the merge")
     _add_keys(spark, area, table, source, known)
+    _note_slack(spark, table, source)
     _replace_months(spark, area, staged, table, touched)
 
 

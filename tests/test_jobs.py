@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from reportlake import schemas
 from reportlake.operators.extract import active_codes, extract_reports, one_per_accession
-from reportlake.plans import backfill, daily, monitoring, structuring
+from reportlake.operators.filters import Catalogue, Filters
+from reportlake.plans import backfill, daily, dashboard, monitoring, structuring
 from reportlake.schemas import RUN_DAILY, RUN_REPROCESS
 from reportlake.session import staging
 from reportlake.sources import sinks, systems, tables
@@ -277,6 +278,65 @@ def test_snapshot_reader_tags_and_renames(spark, tmp_path):
     assert read.encounters.count() == 2 and read.reports.first().report_text == "text"
 
 
+def test_sources_are_read_by_the_keys_of_a_window(spark, tmp_path, plan_of, procedures, modes, database):
+    days = [date(2024, 1, 1 + n % 20) for n in range(200)]
+    raw = {
+        "performed": ("CD_ATENDIMENTO bigint, CD_OCORRENCIA bigint, CD_ORDEM bigint, CD_PROCEDIMENTO bigint, DT_PROCEDIMENTO_REALIZADO date, HR_PROCEDIMENTO_REALIZADO bigint", [(1000 * d.day + n, 2, 3, 1, d, 60) for n, d in enumerate(days)]),
+        "encounters": ("CD_ATENDIMENTO bigint, CD_PACIENTE bigint", [(1000 * d.day + n, 9) for n, d in enumerate(days)]),
+        "reports": ("CD_ATENDIMENTO bigint, CD_OCORRENCIA bigint, CD_ORDEM bigint, DS_LAUDO_MEDICO string", [(1000 * d.day + n, 2, 3, f"text {n}") for n, d in enumerate(days)]),
+    }
+    for name, (ddl, rows) in raw.items():
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / name))
+    read = systems.read_systems(spark, {"HSP": SnapshotSystem(*[str(tmp_path / n) for n in raw])})
+    performed = read.performed.filter("performed_date in ('2024-01-03', '2024-01-19')")
+    narrowed = read.narrowed(performed)
+    assert 20 <= narrowed.reports.count() <= 30 and narrowed.encounters.count() == narrowed.reports.count()
+    plan = plan_of(narrowed.reports, brief=False)
+    assert "PushedFilters: [Or(" in plan.replace("And(", "Or(") and "GreaterThanOrEqual(CD_ATENDIMENTO" in plan
+    whole = SourceTables(read.performed, read.encounters, read.reports)
+    for name, sources in (("a", read), ("b", whole)):
+        daily.run_daily(spark, sources, procedures, modes, f"{database}.{name}", mode=RUN_REPROCESS, day_to_process="2024-01-05", back_days=2)
+    assert contents(spark.read.table(f"{database}.a")) == contents(spark.read.table(f"{database}.b")) != []
+
+
+def test_key_ranges_hold_all_keys_and_leave_gaps(spark):
+    keys = [*range(5), *range(10_000, 10_500), 999_999]
+    rows = spark.createDataFrame([(k,) for k in keys] + [(None,)], "encounter_id bigint")
+    ranges = systems.key_ranges(rows, parts=8)
+    assert len(ranges) <= 8 and all(any(a <= k <= b for a, b in ranges) for k in keys)
+    assert sum(b - a for a, b in ranges[:-1]) < 10_600
+    assert systems.key_ranges(rows.limit(0)) == [] and systems.range_predicates("K", []) == ["1 = 0"]
+    assert systems.range_predicates("CD_ATENDIMENTO", [(1, 5), (9, 9)]) == ["CD_ATENDIMENTO BETWEEN 1 AND 5", "CD_ATENDIMENTO BETWEEN 9 AND 9"]
+
+
+def test_a_period_prunes_months_by_default(spark, database, plan_of):
+    table = f"{database}.reports"
+    rows = [
+        (n, 1, 2, f"k{n:02}", 1, 5, "t", datetime(2024, 1 + n % 6, 3), "HSP", datetime(2024, 7, 1), RUN_DAILY, f"2024-{1 + n % 6:02}")
+        for n in range(60)
+    ]
+    sinks.create_reports(spark.createDataFrame(rows, schemas.REPORTS), table)
+    filters = Filters(last_days=30, as_of="2024-06-15")
+    catalogue = Catalogue(
+        spark.createDataFrame([(1, "CT", True, None, None)], schemas.MODALITIES),
+        spark.createDataFrame([], schemas.DESCRIPTIONS),
+        spark.createDataFrame([(1, "p", 1, *[None] * 7, True, None, None)], schemas.PROCEDURES),
+    )
+    builders = [getattr(dashboard, n) for n in ("kpi_row", "daily_volume", "by_source", "top_modalities", "top_procedures", "by_weekday", "by_hour", "top_descriptions", "modality_detail")]
+    for build in builders:
+        plan = plan_of(build(sinks.read_reports(spark, table), catalogue, filters), brief=False)
+        assert "(year_month" in plan and ">= 2024-05)" in plan.split("PartitionFilters: [", 1)[1], build
+    before = dashboard.kpi_row(sinks.read_reports(spark, table), catalogue, filters).first()
+    assert before.reports == 10
+    # a report whose seconds pushed it two months on is found, and the table says so
+    late = spark.createDataFrame([(99, 1, 2, "late", 1, 5, "t", datetime(2024, 6, 2), "HSP", datetime(2024, 7, 1), RUN_DAILY, "2024-04")], schemas.REPORTS)
+    sinks.upsert_reports(spark, late, table, RUN_DAILY)
+    reports = sinks.read_reports(spark, table)
+    assert dashboard.kpi_row(reports, catalogue, filters).first().reports == 11
+    assert reports.schema["year_month"].metadata == {schemas.MONTH_SLACK: 2}
+    assert ">= 2024-03)" in plan_of(dashboard.kpi_row(reports, catalogue, filters), brief=False)
+
+
 def test_jdbc_reader_splits_by_encounter():
     system = JdbcSystem("jdbc:x", "P", "E", "R", {"user": "u"}, upper_bound=800)
     options = system.options("P")
