@@ -166,7 +166,7 @@ def identify(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """
     docs, row = with_row(docs, Area(docs.sparkSession))
     held_out = fold(F.col("doc_id"), 3) == 1
-    narrow = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("label"), held_out.alias("held_out"))
+    narrow = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("label"), held_out.alias("held_out"))
     model = train(narrow.where(~F.col("held_out")), limit)
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double"
     return narrow.select("doc_id", "held_out", "text").mapInArrow(_predict(model), schema)

@@ -104,3 +104,13 @@ def test_a_repeated_row_is_one_training_text(docs_of, spark, monkeypatch):
     quality.train(docs, labels)
     odd = sum(i % 2 for i in learned)
     assert seen == [(len(learned), [len(learned) - odd, odd])]
+
+
+def test_ids_of_another_whole_type(spark):
+    from reportlake.llm import language, multiset, pii, runs, secret_scan
+
+    docs = spark.createDataFrame([(i, "one two three " * 5, "en") for i in range(6)], "doc_id int, text string, lang string")
+    for operator in (language.identify, runs.periodic_runs, multiset.fingerprints, secret_scan.find_secrets, pii.find_personal):
+        found = operator(docs)
+        assert dict(found.dtypes)["doc_id"] == "bigint"
+        assert sorted(r.doc_id for r in found.collect()) == list(range(6))
