@@ -27,21 +27,23 @@ from reportlake.llm.common import Area, id_and_text, with_row
 FAN = 4  # runs that meet in one exchange
 LEAF = 200_000  # entries a task sorts at once
 TEXT = ["digest", "check", "bytes"]  # entries merge only where all three agree
-ENTRIES = "row struct<file bigint, at bigint>, doc_id bigint, digest binary, check bigint, bytes bigint, size bigint"
-DIGESTS = "row struct<file bigint, at bigint>, doc_id bigint, digest binary, check bigint, bytes bigint"
+ENTRIES = "row struct<file bigint, at bigint>, doc_id bigint, digest binary, check bigint, bytes bigint, raw bigint, size bigint"
+DIGESTS = "row struct<file bigint, at bigint>, doc_id bigint, digest binary, check bigint, bytes bigint, raw bigint"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digest, check, size = [], [], []
+        digest, check, size, raw = [], [], [], []
         for value in batch.column("text"):
-            data = (value.as_py() or "").encode().lower()  # of bytes: A-Z only
+            data = (value.as_py() or "").encode()
+            raw.append(xxhash.xxh64_intdigest(data) - (1 << 63))
+            data = data.lower()  # of bytes: A-Z only
             digest.append(hashlib.sha256(data).digest())
             check.append(xxhash.xxh64_intdigest(data) - (1 << 63))
             size.append(len(data))
+        whole = [pa.array(digest, pa.binary()), *(pa.array(c, pa.int64()) for c in (check, size, raw))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(check, pa.int64()), pa.array(size, pa.int64())],
-            names=["row", "doc_id", "digest", "check", "bytes"],
+            [batch.column("row"), batch.column("doc_id"), *whole], names=["row", "doc_id", "digest", "check", "bytes", "raw"]
         )
 
 
@@ -56,8 +58,8 @@ def _sorted_run(held: list[pa.RecordBatch], largest: bool) -> pa.RecordBatch:
     row = table.column("row").combine_chunks()
     known = pc.is_valid if largest else pc.is_null
     keys = pa.table(
-        [*(table.column(n) for n in TEXT), pc.cast(known(table.column("doc_id")), pa.int8()), table.column("doc_id"), row.field("file"), row.field("at")],
-        names=[*TEXT, "known", "doc_id", "file", "at"],
+        [*(table.column(n) for n in TEXT), pc.cast(known(table.column("doc_id")), pa.int8()), table.column("doc_id"), table.column("raw"), row.field("file"), row.field("at")],
+        names=[*TEXT, "known", "doc_id", "raw", "file", "at"],
     )
     order = pc.sort_indices(keys, sort_keys=[(n, "ascending") for n in keys.column_names])
     texts = [table.column(n).take(order) for n in TEXT]
@@ -95,7 +97,7 @@ def exchanges(spark: SparkSession) -> int:
 
 
 def merged_runs(entries: DataFrame, largest: bool) -> DataFrame:
-    """One row a text: run, digest, check, bytes, keep (known, doc_id, row), size.
+    """One row a text: run, digest, check, bytes, keep (known, doc_id, raw, row), size.
 
     Rows move to the partition their run number names. The maximum of a struct makes Spark
     merge by sorting; as the partitions are those of the run, it does so where they are.
@@ -103,7 +105,7 @@ def merged_runs(entries: DataFrame, largest: bool) -> DataFrame:
     best, known = (F.max, F.col("doc_id").isNotNull()) if largest else (F.min, F.col("doc_id").isNull())
     rounds = exchanges(entries.sparkSession)
     leaves = entries.mapInArrow(_leaves(largest), ENTRIES)
-    keep = F.struct(known.alias("known"), "doc_id", "row").alias("keep")
+    keep = F.struct(known.alias("known"), "doc_id", "raw", "row").alias("keep")
     run = leaves.select((F.spark_partition_id() % FAN**rounds).alias("run"), *TEXT, keep, "size")
     digit = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
     for r in range(rounds):
@@ -126,9 +128,9 @@ def exact_groups(docs: DataFrame, largest: bool = True) -> DataFrame:
     """One row a row of ``docs``: row, doc_id, keep_id, group_size, kept, digest.
 
     Null text is empty text. Of equal texts the row with the largest id stays (or the
-    smallest); a null id loses to any other, and of rows with that same id the last (or
-    first) in the files stays. An empty table gives an empty result. Other columns, of
-    whatever name, are ignored.
+    smallest); a null id loses to any other. Of rows with that same id the one whose text, in
+    its own letters, has the largest (or smallest) XXH64 stays, and one of those that repeat
+    it. An empty table gives an empty result. Other columns, of whatever name, are ignored.
     """
     area = Area(docs.sparkSession)
     rows = digests(id_and_text(*with_row(docs, area)), area)

@@ -1,5 +1,6 @@
 import hashlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from reportlake.llm import dedup
@@ -32,8 +33,9 @@ def test_one_row_of_each_text_stays_with_all_columns(docs_of):
     docs = docs_of(ROWS)
     kept = dedup.drop_copies(docs)
     assert kept.columns == docs.columns
+    seven = max(("aBC É", "ABC É"), key=xxhash.xxh64_intdigest)
     assert sorted(((r.doc_id, (r.text or "")[:9]) for r in kept.collect()), key=repr) == sorted(
-        [(7, "ABC É"), (9, "abc é"), (2, ""), (4, "X" * 9), (None, "only"), (8, " ")], key=repr
+        [(7, seven), (9, "abc é"), (2, ""), (4, "X" * 9), (None, "only"), (8, " ")], key=repr
     )
     assert sum(r.kept for r in dedup.exact_groups(docs).collect()) == 6
 
