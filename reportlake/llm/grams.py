@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def codes(texts: list[bytes], sizes: tuple[int, ...], bits: int) -> list[np.ndar
     return out
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, cost: float = 1.0, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: Sequence[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, cost: float = 1.0, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge-loss model of sparse rows (places, values).
 
     Minimises |w|^2 / 2 + cost * sum(hinge) through its dual, one row's multiplier at a
@@ -56,12 +58,31 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], signs: np
     return weights, bias
 
 
-def labelled_sample(rows: DataFrame, label: str, key: Column, limit: int) -> DataFrame:
+def packed(places: np.ndarray, size: int) -> bytes:
+    """Sorted places below ``size`` as 32-bit numbers or as bits, whichever are fewer bytes."""
+    if 4 * len(places) < size // 8:
+        return places.astype(np.int32).tobytes()
+    flags = np.zeros(size, dtype=bool)
+    flags[places] = True
+    return np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    if len(data) < size // 8:
+        return np.frombuffer(data, dtype=np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=size)).astype(np.int32)
+
+
+def labelled_sample(rows: DataFrame, label: str, key: Column, limit: int, total: int | None = None) -> DataFrame:
     """About ``limit`` rows of each label at most, by a hash of ``key``, the same at every run.
 
-    Only the counts per label come to the driver. The column ``draw`` orders the rows.
+    With ``total`` labels share that many rows evenly if there are many labels, and have at
+    least one each. Only the counts per label come to the driver. The column ``draw`` orders
+    the rows.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    if total is not None and counts:
+        limit = min(limit, max(1, total // len(counts)))
     whole = 1 << 30
     few = F.lit(False)
     for value, count in counts.items():

@@ -19,6 +19,7 @@ from reportlake.llm.common import Area, fold, pieces, with_row
 from reportlake.llm.grams import codes, dual_coordinate_descent, labelled_sample
 
 SAMPLE = 600  # training texts of a language at most
+TOTAL = 6000  # training texts of all languages at most; at least one each
 SIZES = (2, 3, 4)
 BITS = 13
 UNKNOWN = "und"
@@ -126,9 +127,13 @@ class Model:
         return out, np.clip(final, 0.0, 1.0)
 
 
-def train(examples: DataFrame, limit: int = SAMPLE) -> Model | None:
-    """Fitted on at most ``limit`` texts of each label of ``examples`` (row, text, label)."""
-    drawn = labelled_sample(examples.where("label is not null and text is not null"), "label", F.col("row"), limit)
+def train(examples: DataFrame, limit: int = SAMPLE, total: int = TOTAL) -> Model | None:
+    """Fitted on at most ``limit`` texts of each label of ``examples`` (row, text, label).
+
+    Many labels share ``total`` texts evenly, and have at least one each. A text brings at
+    most 64 KB to the driver, however long it is.
+    """
+    drawn = labelled_sample(examples.where("label is not null and text is not null"), "label", F.col("row"), limit, total)
     rows = drawn.select("label", "draw", "text").mapInArrow(_features, "label string, draw bigint, places binary, values binary").collect()
     rows.sort(key=lambda r: (r.label, r.draw, r.places))
     kept, seen = [], {}

@@ -8,7 +8,7 @@ training rows, weighted to the classes' shares among all labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import Area, fold, pieces
-from reportlake.llm.grams import codes, dual_coordinate_descent, labelled_sample
+from reportlake.llm.grams import codes, dual_coordinate_descent, labelled_sample, packed, unpacked
 
 SAMPLE = 3000  # training texts of a class at most
 SIZES = (1, 2, 3, 4)
 BITS = 17
 COST = 1.0
 _REPEATS = 16  # places after the n-grams: shares of words equal to the word before
+_PLACES = (1 << BITS) + _REPEATS
 
 
 def indicators(texts: list[bytes]) -> list[np.ndarray]:
@@ -41,21 +42,47 @@ def indicators(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+class _Scaled(Sequence):
+    """Rows as places and scaled values of unit length, made when asked for.
+
+    What is held is bounded by the number of rows: 16 KB of packed places a row, and the
+    unpacked row where it has at most ``HELD`` places.
+    """
+
+    HELD = 4096
+
+    def __init__(self, rows: list[bytes], unit):
+        self.rows, self.unit, self.held = rows, unit, {}
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k >= len(self.rows):
+            raise IndexError(k)
+        if k in self.held:
+            return self.held[k]
+        places = unpacked(self.rows[k], _PLACES)
+        row = places, self.unit(places)
+        if len(places) <= self.HELD:
+            self.held[k] = row
+        return row
+
+
 class Model:
-    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, shares: np.ndarray):
-        """``shares``: how many rows of class 0 and 1 there are where these were drawn."""
-        size = (1 << BITS) + _REPEATS
-        counts = np.ones((2, size))
-        for places, label in zip(rows, labels):
-            counts[label, places] += 1
+    def __init__(self, rows: list[bytes], labels: np.ndarray, shares: np.ndarray):
+        """``rows``: packed places. ``shares``: how many rows of class 0 and 1 there are where these were drawn."""
+        counts = np.ones((2, _PLACES))
+        for data, label in zip(rows, labels):
+            counts[label, unpacked(data, _PLACES)] += 1
         logs = np.log(counts / counts.sum(axis=1, keepdims=True))
         self.ratio = logs[1] - logs[0]
         self.constant = None
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels[0]) if len(labels) else 0.5
             return
-        scaled = [(places, self._unit(places)) for places in rows]
-        self.weights, self.bias = dual_coordinate_descent(scaled, np.where(labels == 1, 1.0, -1.0), size, COST)
+        scaled = _Scaled(rows, self._unit)
+        self.weights, self.bias = dual_coordinate_descent(scaled, np.where(labels == 1, 1.0, -1.0), _PLACES, COST)
         margins = np.array([self.weights[p] @ v + self.bias for p, v in scaled])
         drawn = np.bincount(labels, minlength=2)
         self.slope, self.shift = logistic(margins, labels, (shares / drawn)[labels])
@@ -96,7 +123,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column("label").slice(first, len(texts)),
                     batch.column("draw").slice(first, len(texts)),
-                    pa.array([p.tobytes() for p in indicators(texts)], pa.binary()),
+                    pa.array([packed(p, _PLACES) for p in indicators(texts)], pa.binary()),
                 ],
                 names=["label", "draw", "places"],
             )
@@ -106,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     """Fitted on at most ``limit`` texts of each class outside the fold that is held out.
 
     The sample is of the distinct labelled (id, text) of ``docs``, and shares count these.
+    A text of it brings at most 16 KB to the driver, however long it is.
     """
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where("label in (0, 1)").where(fold(F.col("doc_id"), 3) != 1).distinct()
@@ -126,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
         if seen[r.label] <= limit:
             kept.append(r)
     return Model(
-        [np.frombuffer(r.places, dtype=np.int32) for r in kept],
+        [bytes(r.places) for r in kept],
         np.array([r.label for r in kept], dtype=np.int64),
         np.array([shares.get(0, 0), shares.get(1, 0)], dtype=float),
     )

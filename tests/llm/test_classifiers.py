@@ -114,3 +114,104 @@ def test_ids_of_another_whole_type(spark):
         found = operator(docs)
         assert dict(found.dtypes)["doc_id"] == "bigint"
         assert sorted(r.doc_id for r in found.collect()) == list(range(6))
+
+
+def test_places_come_back_from_bytes_of_bounded_number():
+    rng = np.random.default_rng(1)
+    size = quality._PLACES
+    for n in (0, 1, 4000, 4096, 4097, 5000, size):
+        places = np.sort(rng.choice(size, n, replace=False)).astype(np.int32)
+        data = grams.packed(places, size)
+        assert np.array_equal(grams.unpacked(data, size), places) and len(data) <= size // 8
+
+
+def test_many_labels_share_the_sample(spark):
+    rows = spark.createDataFrame([(i, f"l{i % 20}") for i in range(4000)], "row int, label string")
+    from pyspark.sql import functions as F
+
+    drawn = {r.label: r["count"] for r in grams.labelled_sample(rows, "label", F.col("row"), 150, 400).groupBy("label").count().collect()}
+    assert len(drawn) == 20 and max(drawn.values()) <= 60 and sum(drawn.values()) < 700
+    assert grams.labelled_sample(rows, "label", F.col("row"), 150, 5).count() > 0
+
+
+def plain_buckets(text, sizes, bits):
+    """The bucket of every n-gram, one at a time."""
+    primes = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
+    out = []
+    for n in sizes:
+        for at in range(len(text) - n + 1):
+            mixed = sum(text[at + k] * primes[k] for k in range(n)) % 2**32
+            mixed ^= mixed >> 15
+            out.append(mixed * (0x2C1B3C6D + 2 * n) % 2**32 >> (32 - bits))
+    return out
+
+
+def plain_machine(rows, signs, cost):
+    """Hinge-loss weights of dense rows by cyclic dual ascent over the whole Gram matrix."""
+    x = np.hstack([np.array(rows), np.ones((len(rows), 1))])
+    gram = (x @ x.T) * np.outer(signs, signs)
+    alpha = np.zeros(len(rows))
+    for _ in range(3000):
+        before = alpha.copy()
+        for i in range(len(rows)):
+            alpha[i] = min(max(alpha[i] - (gram[i] @ alpha - 1) / gram[i, i], 0.0), cost)
+        if np.abs(alpha - before).max() < 1e-10:
+            break
+    return x.T @ (alpha * signs)
+
+
+def test_quality_scores_equal_the_plain_way(docs_of, spark):
+    rng = np.random.default_rng(3)
+    words = [["report", "clear", "method", "result"], ["buy", "cheap", "click", "win"], ["the", "of", "and", "to"]]
+    rows = [(i, " ".join(rng.choice(words[i % 2] + words[2] * 2, 12))) for i in range(70)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(70)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.score_quality(docs_of(rows + [(99, ""), (98, None)]), labels).collect()}
+
+    def flags(text):
+        row = np.zeros(quality._PLACES)
+        row[plain_buckets(text.encode(), quality.SIZES, quality.BITS)] = 1
+        own = text.split()
+        again = sum(own[k] == own[k - 1] for k in range(1, len(own)))
+        if again:
+            row[2**quality.BITS : 2**quality.BITS + int(16 * again / len(own)) + 1] = 1
+        return row
+
+    learned = [(flags(t), int(i % 2 == 0)) for i, t in rows if not held_out(i)]
+    of = [1 + sum(f for f, y in learned if y == c) for c in (0, 1)]
+    ratio = np.log(of[1] / of[1].sum()) - np.log(of[0] / of[0].sum())
+
+    def scaled(row):
+        length = np.linalg.norm(row * ratio)
+        return row * ratio / (length or 1)
+
+    y = np.array([c for _, c in learned])
+    weights = plain_machine([scaled(f) for f, _ in learned], np.where(y == 1, 1.0, -1.0), quality.COST)
+    margin = {i: scaled(flags(t or "")) @ weights[:-1] + weights[-1] for i, t in rows + [(99, ""), (98, None)]}
+    slope, shift = quality.logistic(np.array([margin[i] for i, _ in rows if not held_out(i)]), y, np.ones(len(y)))
+    for i, m in margin.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(slope * m + shift))), abs=0.02)
+
+
+def test_languages_equal_the_plain_way(spark):
+    rng = np.random.default_rng(4)
+    text = {"en": "the and of with was that", "de": "der die und mit war dass", "fr": "le la des avec que dans", "es": "el los con que para una"}
+    rows = [(i, " ".join(rng.choice(text[x].split(), 8)), x) for i, x in enumerate(list(text) * 20)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+
+    def vector(t):
+        row = np.log1p(np.bincount(plain_buckets(t.lower().encode(), language.SIZES, language.BITS), minlength=2**language.BITS))
+        return row / (np.linalg.norm(row) or 1)
+
+    learned = [(vector(t), x) for i, t, x in rows if not held_out(i)]
+
+    def machine(used, positive):
+        own = [(v, 1.0 if x in positive else -1.0) for v, x in learned if x in used]
+        return plain_machine([v for v, _ in own], np.array([s for _, s in own]), 10.0)
+
+    families = [("en", "de"), ("fr", "es")]
+    first = [machine(text, f) for f in families]
+    pairs = [machine(f, f[:1]) for f in families]
+    for i, t, _ in rows:
+        v = np.append(vector(t), 1.0)
+        k = int(np.argmax([v @ w for w in first]))
+        assert got[i] == families[k][0 if v @ pairs[k] >= 0 else 1]
