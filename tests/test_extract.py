@@ -1,8 +1,10 @@
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import QUERIES
 from reportlake import schemas
 from reportlake.functions import scalars
 from reportlake.operators import extract
@@ -133,3 +135,45 @@ def test_stamp_gives_the_table_columns(spark):
     assert stamped.columns == schemas.REPORTS.fieldNames()
     row = stamped.first()
     assert (row.run_mode, row.loaded_at, row.year_month) == (RUN_DAILY, datetime(2024, 6, 1), "2024-05")
+
+
+MOVES_NO_TEXT = [
+    "performed_with_report",
+    "extracted_rows",
+    "extracted_rows_strict_source",
+    "extracted_rows_in_window",
+    "deduplicated_reports",
+    "deduplicated_reports_strict_key",
+    "upsert_daily",
+    "upsert_daily_by_lookup",
+    "upsert_reprocess",
+    "upsert_reprocess_by_lookup",
+]
+
+
+@pytest.mark.parametrize("name", MOVES_NO_TEXT)
+def test_digests_of_texts_are_taken_where_these_are_read(spark, plan_of, name):
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"), brief=False)
+    moved = re.findall(r"\(\d+\) Exchange\s*\n(?:Input|Output)[^\n]*", plan)
+    assert moved and not any("report_text" in line for line in moved)
+
+
+def test_columns_of_the_text_come_with_the_same_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, 5, 9, "HSP"), (1, 2, 5, 9, "PSC"), (1, 2, 5, 9, "PSC"), (None, 1, 5, 9, "HSP")],
+        "encounter_id long, occurrence_no long, order_no long, procedure_code long, source string",
+    )
+    encounters = spark.createDataFrame(
+        [(1, 7, "HSP"), (1, 8, "PSC"), (1, 8, "PSC"), (None, 9, "HSP")], "encounter_id long, patient_id long, source string"
+    )
+    reports = spark.createDataFrame(
+        [(1, 1, 5, "HSP", "a"), (1, 1, 5, "PSC", "b"), (1, 2, 5, "PSC", "c"), (1, 2, 5, "HSP", " \n"), (None, 1, 5, "HSP", "d")],
+        "encounter_id long, occurrence_no long, order_no long, source string, report_text string",
+    )
+    for strict in (False, True):
+        whole = extract.attach_reports(rows, encounters, reports, strict)
+        narrow = extract.attach_reports(rows, encounters, reports, strict, of_text={"size": F.length("report_text")})
+        wanted = whole.withColumn("size", F.length("report_text"))
+        columns = sorted(wanted.columns)
+        assert sorted(map(tuple, narrow.select(columns).collect())) == sorted(map(tuple, wanted.select(columns).collect()))
+        assert narrow.count() == (5 if strict else 7)

@@ -54,6 +54,14 @@ def test_rules(sides, small):
     assert by_key(upsert.merge_all(*sides, small_source=small)) == ALL
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_columns_made_of_the_text_go_with_it(sides, small):
+    old, new = (side.withColumn("size", F.length("report_text")) for side in sides)
+    merged = upsert.merge_daily(old, new, small_source=small, of_text=["size"])
+    assert by_key(merged) == DAILY
+    assert merged.filter(~F.col("size").eqNullSafe(F.length("report_text"))).isEmpty()
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_merging_twice_changes_nothing(sides, small):
     target, source = sides
