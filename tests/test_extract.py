@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import QUERIES
+from checks.standins import Data
 from reportlake import schemas
 from reportlake.functions import scalars
 from reportlake.operators import extract
@@ -177,3 +178,15 @@ def test_columns_of_the_text_come_with_the_same_rows(spark):
         columns = sorted(wanted.columns)
         assert sorted(map(tuple, narrow.select(columns).collect())) == sorted(map(tuple, wanted.select(columns).collect()))
         assert narrow.count() == (5 if strict else 7)
+
+
+def test_counts_without_texts_move_a_procedure_once_and_no_hash(spark, plan_of):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(Data(spark, "/root/testdata/sf0.001").reports.select("accession_number", "patient_id"), brief=False)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\(\d+\) Exchange\s*\n(?:Input|Output)[^\n]*", plan)
+    assert moved and not any(extract.TEXT_HASH in line for line in moved)
+    assert not any("patient_id" in line and "performed_seconds" in line for line in moved)
