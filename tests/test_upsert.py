@@ -1,10 +1,13 @@
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.extraction import merge_sides
+from checks.standins import Data
 from reportlake import schemas
-from reportlake.operators import upsert
+from reportlake.operators import extract, upsert
 from reportlake.schemas import RUN_DAILY, RUN_REPROCESS
 from reportlake.sources import sinks, tables
 from reportlake.plans.monitoring import duplicate_keys
@@ -286,3 +289,36 @@ def test_a_merge_notices_another_writer(spark, database, sides, monkeypatch):
     with pytest.raises(sinks.ChangedMeanwhile):
         sinks.upsert_reports(spark, source, table, RUN_DAILY)
     assert spark.read.table(table).count() == 4
+
+
+def test_loaded_texts_are_moved_once_before_the_table_is_written(spark, plan_of):
+    for rows in (Data(spark, "/root/testdata/sf0.001").with_texts(), *merge_sides(Data(spark, "/root/testdata/sf0.001"))):
+        moved = re.findall(r"\(\d+\) Exchange\s*\n(?:Input|Output)[^\n]*", plan_of(rows, brief=False))
+        assert sum("report_text" in line for line in moved) <= 1
+        assert "report_text" in rows.columns
+
+
+def test_of_texts_under_one_key_the_chosen_one_is_fetched(spark):
+    performed = spark.createDataFrame(
+        [(1, 1, 5, 9, datetime(2024, 1, 2).date(), "0", "HSP")] * 2 + [(11, 1, 5, 9, datetime(2024, 1, 2).date(), "0", "HSP")],
+        schemas.PERFORMED,
+    )
+    encounters = spark.createDataFrame([(1, 7, "HSP"), (11, 7, "HSP")], "encounter_id long, patient_id long, source string")
+    reports = spark.createDataFrame(
+        [(1, 1, 5, "HSP", text) for text in ("a", "b", "a", " ")] + [(11, 1, 5, "HSP", "c")],
+        "encounter_id long, occurrence_no long, order_no long, source string, report_text string",
+    )
+    whole = extract.one_per_accession(extract.extract_reports(performed, encounters, reports, None))
+    keys = extract.extract_reports(performed, encounters, reports, None, of_text={extract.TEXT_HASH: F.xxhash64("report_text")})
+    chosen = extract.one_per_accession(keys, keep_hash=True).drop("report_text")
+    fetched = extract.fetch_texts(chosen, reports).select(whole.columns)
+    assert sorted(map(tuple, fetched.collect())) == sorted(map(tuple, whole.collect()))
+    assert fetched.count() == 2
+
+
+def test_files_with_texts_are_packed_closely(spark, database, sides):
+    sinks.create_reports(sides[0], "testing.packed")
+    assert all(".zstd." in name for name in spark.read.table("testing.packed").inputFiles())
+    sinks.upsert_reports(spark, sides[1], "testing.packed", RUN_REPROCESS)
+    sinks.compact_reports(spark, "testing.packed")
+    assert all(".zstd." in name for name in spark.read.table("testing.packed").inputFiles())
