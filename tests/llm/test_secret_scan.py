@@ -121,6 +121,57 @@ def test_a_value_of_many_pieces_is_no_secret():
     assert len(found) <= 80 and any(int(s.split(":")[1]) <= at < int(s.split(":")[2]) for s in found)
 
 
+def plain_lexed_spans(text):
+    """Every value as a plain list of its literals."""
+    known, out = {}, set()
+    for pair in z.pairs(text):
+        spans = []
+        for start, end, name in pair.operands:
+            if name is None or name not in known and any(map(str.isdigit, name)) and z.literal_score(name) > 0.6:
+                spans.append((start, end))
+            elif name in known:
+                spans += known[name]
+        known[pair.name] = spans = list(dict.fromkeys(spans))
+        looks = z.literal_score("".join(text[a:b] for a, b in spans))
+        if looks > 0.3 and z.name_score(pair.name) and 0.6 * z.name_score(pair.name) + 0.4 * looks >= z.THRESHOLD:
+            out.update(x for x in spans if x[1] > x[0])
+    return out
+
+
+@pytest.mark.parametrize("held", [1, 4, 64])
+def test_values_of_any_number_of_literals_against_plain_lists(monkeypatch, held):
+    """Put together in front, behind, from each other and from earlier ones."""
+    monkeypatch.setattr(z, "PIECES", held)
+    rng, found = random.Random(held), 0
+    names = ["token", "secret", "part", "sep", "key"]
+    literals = ["Zx8", "q", "9$", "K2m", "x", "xx", "dum", "my", "<", ">", "{{", "ab12CD", "todo", "a b", "ſ7", ""]
+    for _ in range(1500):
+        few = rng.sample(literals, rng.randint(2, 6))
+        lines = []
+        for _ in range(rng.randint(3, 40)):
+            operands = [rng.choice(names) if rng.random() < 0.6 else f"'{rng.choice(few)}'" for _ in range(rng.randint(1, 4))]
+            lines.append(f"{rng.choice(names)} = {' + '.join(operands)}\n")
+        text = "".join(lines)
+        spans = {(a, b) for _, a, b in z.lexed_spans(text.encode(), text, None)}
+        assert spans == plain_lexed_spans(text), text
+        found += len(spans)
+    assert found > 2000
+
+
+def test_the_query_finds_values_of_many_pieces(docs_of):
+    text = "token = ''\n" + "token = token + 'Zx8'\n" * 300 + "api_secret = token\n"
+    (row,) = z.find_secrets(docs_of([(1, text)]), most=None).collect()
+    assert len(row.spans.split(",")) == 300
+
+
+@pytest.mark.parametrize("line", ["token = token + 'x1B'\n", "secret = 'a' + secret + \"B7\"\n", "pwd = sep + pwd + 'kQ9'\n"])
+def test_a_value_of_very_many_pieces_takes_time_in_proportion(line):
+    text = ("sep = 'Zx8'\n" + line * (1_000_000 // len(line))).encode()
+    began = time.time()
+    assert z.scan(text, None)[-1].count("literal") > 30_000
+    assert time.time() - began < 12
+
+
 def plain_strings(line):
     """Closed strings of a line, each tried from every quote on that no string holds."""
     out, at = [], 0
