@@ -30,8 +30,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the row with the smallest id stays."""
-    return drop_near_copies(docs)
+    """Of each group of near copies the row with the smallest id stays.
+
+    Linked are fingerprints as op3 links them, and sets of five-word shingles of similarity 0.8.
+    """
+    return drop_near_copies(docs, fingerprints=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

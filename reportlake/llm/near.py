@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import Area, id_and_text, pieces, with_row
-from reportlake.llm.simhash import components
+from reportlake.llm.simhash import components, row_groups
 
 WORDS = 5  # words in a shingle
 SHARE = 0.8  # similarity of near copies
@@ -203,10 +203,20 @@ def _links(pairs: DataFrame, details: DataFrame, area: Area) -> DataFrame:
     return area.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def _fingerprint_links(rows: DataFrame, name: str, prints: DataFrame, area: Area) -> DataFrame:
+    """Links (a, b) between the prints of rows that SimHash fingerprints group, few enough to connect them."""
+    met = area.keep(prints.select("row", "print").join(row_groups(id_and_text(rows, name), area), "row").select("root", "print").distinct())
+    hubs = met.groupBy("root").agg(F.min("print").alias("a"), F.max("print").alias("last")).where("a < last").select("root", "a")
+    return area.keep(met.join(hubs, "root").where("print <> a").select("a", F.col("print").alias("b")))
+
+
+def drop_near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     """``docs`` with the row of the smallest id of each group of near copies.
 
-    Groups are what links of a similarity of at least 0.8 connect. Texts of fewer than five
+    Groups are what links of a similarity of at least 0.8 connect. With ``fingerprints``
+    also what is linked by SimHash fingerprints at three or fewer differing bits, as
+    ``simhash.near_groups`` does, is one group: a row goes if links of either kind lead to
+    one of a smaller id. Texts of fewer than five
     words have one shingle; texts without words, and null, are copies of each other. Null
     ids come last. An empty table gives an empty result.
     """
@@ -228,7 +238,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     named = members.drop("root").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     more = _links(_candidates(named.join(mixed, "key", "left_semi"), details, False, area), details, area)
-    roots = components(links.unionByName(more), area).withColumnRenamed("node", "print")
+    links = links.unionByName(more)
+    if fingerprints:
+        links = links.unionByName(_fingerprint_links(rows, name, prints, area))
+    roots = components(links, area).withColumnRenamed("node", "print")
 
     whole = first.select("print", "keep").join(roots, "print", "left")
     best = whole.groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("keep").alias("keep"))

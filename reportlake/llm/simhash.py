@@ -245,6 +245,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_groups(narrow: DataFrame, area: Area) -> DataFrame:
+    """(row, root) of rows of row, doc_id and text: linked rows have the same root."""
+    rows = fingerprints(narrow, area)
+    roots = components(link(rows.select("print").distinct(), area), area)
+    return rows.join(roots.withColumnRenamed("node", "print"), "print", "left").select("row", F.coalesce("root", "print").alias("root"))
+
+
 def _grouped(rows: DataFrame, area: Area) -> DataFrame:
     first = area.keep(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")))
     roots = components(link(first.select("print"), area), area)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from reportlake.llm import near
+from reportlake.llm import near, simhash
 
 
 def shingles(text):
@@ -50,6 +50,33 @@ def test_the_stage_against_jaccard_of_all_pairs(docs_of, monkeypatch, block):
     assert near.drop_near_copies(docs_of([])).count() == 0
 
 
+def test_fingerprints_link_as_well(docs_of):
+    """A group goes on through links of either kind, also through rows that go themselves."""
+    rng = random.Random(9)
+    words = [" ".join(f"v{rng.randrange(10_000)}" for _ in range(60)) for _ in range(3)]
+    texts = ["w " * 100, "w " * 100 + words[0], "w " * 8 + words[0], words[1], words[1] + " end", words[2], "", " "]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(20 + k, t) for k, t in enumerate(family(rng, 20, 60, 30))] + [(None, None)]
+    prints = simhash.fingerprints_of([(t or "").encode() for _, t in rows]).tolist()
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = {min(k for k, g in enumerate(group) if g == own) for own in group}
+    found = near.drop_near_copies(docs_of(rows), fingerprints=True)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(rows[k][0] for k in kept)
+    assert {0, 3, 5, 6} <= kept and not {1, 2, 4, 7} & kept
+    assert {r.doc_id for r in near.drop_near_copies(docs_of(rows)).collect()} >= {0, 1}
+    assert near.drop_near_copies(docs_of([]), fingerprints=True).count() == 0
+
+
+def test_the_pipeline_links_by_fingerprints(spark, docs_of):
+    import corpus_pipeline
+
+    docs = docs_of([(1, "w " * 100 + "a b"), (2, "w " * 100 + "c d"), (3, "quite another text of some words")])
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == {1, 3}
+
+
 def test_the_stage_finds_the_near_copies_of_the_documents(spark):
     from corpus_pipeline import exact
     from corpus_pipeline import near as stage
