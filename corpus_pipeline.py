@@ -15,6 +15,9 @@ from reportlake.llm.near import drop_near_copies
 from reportlake.llm.packing import pack_documents
 from reportlake.llm.quality import keep_good
 
+# Words in a generation of the tokenizer's cache: the workers also hold what earlier stages left.
+WORDS_KEPT = 50_000
+
 # Some stages are models or evolve their result, which SQL can't express.
 ORACLE_SQL = None
 
@@ -44,7 +47,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, each with its place in a sequence."""
-    return pack_documents(docs)
+    return pack_documents(docs, kept=WORDS_KEPT)
 
 
 STAGES = [

@@ -45,7 +45,7 @@ _TAIL = b".,!?;:$&%#*|"  # ASCII signs: a run of them is one token of the pre-to
 _SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 # How a byte-level vocabulary writes bytes that aren't printable: signs from 256 on, in order.
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
-_KEPT = 400_000  # words in each of the two generations of the cache
+KEPT = 400_000  # words in each of the two generations of the cache
 
 
 class WordIds:
@@ -57,7 +57,8 @@ class WordIds:
     behind them, go to its merges directly.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -77,9 +78,9 @@ class WordIds:
             self.cores[core] = struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > _KEPT:
+        if len(self.words) > self.kept:
             self.older, self.words = self.words, {}
-        if len(self.cores) > _KEPT:
+        if len(self.cores) > self.kept:
             self.older_cores, self.cores = self.cores, {}
         lacking = words.difference(self.words)
         again = lacking.intersection(self.older)
@@ -112,17 +113,18 @@ class WordIds:
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
-def _cut(path: str, most: int):
+def _cut(path: str, most: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or WordIds(path)
-        _encoders[path] = encoder
+        if (path, kept) not in _encoders:
+            _encoders[path, kept] = WordIds(path, kept)
+        encoder = _encoders[path, kept]
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, texts in pieces(batch, "text", 8_000_000):
+            for first, texts in pieces(batch, "text", 20 * kept):
                 out = {n: [] for n in ("item", "doc_id", "piece", "start", "length", "ids_crc32")}
                 for k, own in enumerate(encoder.texts(texts)):
                     own += b"\0\0\0\0"
@@ -298,15 +300,16 @@ def pack(cut: DataFrame, area: Area, capacity: int = SEQUENCE, block: int = BLOC
     return whole.unionByName(packed)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = SEQUENCE) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = SEQUENCE, kept: int = KEPT) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and id 0; null text is empty and gives the single id 0. Only
     longer documents are cut. Repeated rows and null ids are packed as rows of their own.
-    An empty table gives an empty result. Other columns are ignored.
+    An empty table gives an empty result. Other columns are ignored. ``kept`` words are in
+    each generation of a task's cache; it decides on time and memory alone.
     """
     area = Area(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    cut = area.keep(narrow.mapInArrow(_cut(path, capacity), PIECES))
+    cut = area.keep(narrow.mapInArrow(_cut(path, capacity, kept), PIECES))
     return pack(cut, area, capacity).drop("item")

@@ -22,6 +22,7 @@ from reportlake.llm.grams import codes, dual_coordinate_descent, labelled_sample
 SAMPLE = 3000  # training texts of a class at most
 SIZES = (1, 2, 3, 4)
 BITS = 17
+AT_ONCE = 1_000_000  # bytes of text whose n-grams are held: some 50 bytes each
 COST = 1.0
 _REPEATS = 16  # places after the n-grams: shares of words equal to the word before
 _PLACES = (1 << BITS) + _REPEATS
@@ -118,7 +119,7 @@ def logistic(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, texts in pieces(batch, "text"):
+        for first, texts in pieces(batch, "text", AT_ONCE):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("label").slice(first, len(texts)),
@@ -165,7 +166,7 @@ def scorer(model: Model):
 
     def score(texts: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        found = [model.score(own) for _, own in pieces(batch, "text")]
+        found = [model.score(own) for _, own in pieces(batch, "text", AT_ONCE)]
         return pd.Series(np.concatenate(found) if found else np.array([], dtype=float))
 
     return F.pandas_udf(score, "double")

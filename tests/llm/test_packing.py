@@ -49,6 +49,17 @@ def test_pieces_equal_the_tokenizer(docs_of):
     assert packing.pack_documents(docs_of([])).count() == 0
 
 
+def test_a_small_cache_gives_the_same_ids_and_stays_small(docs_of):
+    words = [[f"w{n}x{k}".encode() for k in range(500)] for n in range(20)]
+    words = [[w.translate(bytes(c + 49 if 48 <= c < 58 else c for c in range(256))) for w in own] for own in words]
+    path = public_tokenizers.path(packing.VOCABULARY)
+    small, large = packing.WordIds(path, kept=100), packing.WordIds(path)
+    for own in words:
+        assert small.texts([b" ".join(own)]) == large.texts([b" ".join(own)])
+        assert max(map(len, (small.words, small.older, small.cores, small.older_cores))) <= 100 + 500
+    check_packed(packing.pack_documents(docs_of(ODD), kept=2).collect(), ODD)
+
+
 def test_the_registered_query_packs_closely(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
