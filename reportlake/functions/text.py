@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportlake.functions.mojibake import SUSPECT, undo_pages
+from reportlake.functions.mojibake import BEYOND_ASCII, RUN, SUSPECT, undo_pages
 from reportlake.functions.scalars import BLANKS, ColumnOrName, _col, bind, strip
 
 # Symbols and what replaces them.
@@ -140,6 +140,7 @@ _MOJIBAKE = (
     rf"|(?:[\u00C6-\u00DF][{_CONTINUATION}]){{2,}}"
     rf"|(?:[\u00E0-\u00EF][{_CONTINUATION}]{{2}})+|(?:[\u00F0-\u00F4][{_CONTINUATION}]{{3}})+"
 )
+_MISREAD = re.compile(_MOJIBAKE)
 # "\u00E0" whose second byte, a hard space, became an ordinary one.
 _SPLIT_A = re.compile(r"(?<!\w)\u00C3(?: (?= )|(?= \w))")
 _ENTITY = r"&#?[A-Za-z0-9]+;"
@@ -196,13 +197,20 @@ def _decode_run(match: re.Match) -> str:
 
 def undo_mojibake(text: str) -> str:
     """Also where a text was damaged several times; each pass makes it shorter."""
-    while (repaired := re.sub(_MOJIBAKE, _decode_run, text)) != text:
+    while (repaired := RUN.sub(_decode_parts, text)) != text:
         text = repaired
     return text
 
 
+def _decode_parts(run: re.Match) -> str:
+    """What ``_MOJIBAKE`` matches lies within a run of characters beyond ASCII."""
+    return _MISREAD.sub(_decode_run, run.group())
+
+
 def undo_damage(text: str) -> str:
     """Damage by one code page after another is undone from the last one on, until nothing changes."""
+    if text.isascii():
+        return text
     while (repaired := undo_mojibake(undo_pages(_SPLIT_A.sub("\u00E0", text)))) != text:
         text = repaired
     return text
@@ -228,7 +236,7 @@ def repair_unicode(text: ColumnOrName) -> Column:
     """HTML entities, mojibake, ligatures, widths, quotes, line breaks, controls, NFC."""
     raw = _col(text)
     not_nfc = raw.rlike(_MAYBE_NOT_NFC) & raw.rlike(_NOT_NFC)
-    suspect = raw.rlike(_ENTITY) | raw.rlike(_MOJIBAKE) | raw.rlike(SUSPECT) | raw.rlike(_SPLIT_A.pattern) | not_nfc
+    suspect = raw.rlike(_ENTITY) | raw.rlike(f"{BEYOND_ASCII}(?:{_MOJIBAKE})") | raw.rlike(SUSPECT) | raw.rlike(_SPLIT_A.pattern) | not_nfc
     out = F.coalesce(_repair(F.when(suspect, raw)), raw)
     out = _replace_all(out, WIDE | QUOTES | LIGATURES)
     out = F.regexp_replace(out, _ESCAPE_SEQUENCE, "")

@@ -141,13 +141,28 @@ def at_word_start(pattern: str) -> str:
 
 
 def _first_matching(lowered: Column, patterns: dict[str, str], default: str) -> Column:
-    """Label of the first pattern found. One search for any of them comes first, as most
-    texts have none."""
+    """Label of the first pattern found."""
     labelled = F.lit(default)
     for label, pattern in reversed(patterns.items()):
         labelled = F.when(lowered.rlike(at_word_start(pattern)), label).otherwise(labelled)
-    any_of_them = at_word_start("|".join(patterns.values()))
-    return F.when(lowered.rlike(any_of_them), labelled).otherwise(default)
+    return labelled
+
+
+def _labels(lowered: Column) -> Column:
+    """Organ and finding of a sentence. One search for any of their words comes first, as
+    most sentences have none."""
+
+    def labelled(organ: Column, finding: Column) -> Column:
+        return F.struct(organ.alias("organ"), finding.alias("finding"))
+
+    any_of_them = at_word_start("|".join([*ORGANS.values(), *FINDING_WORDS.values()]))
+    return F.when(
+        lowered.rlike(any_of_them),
+        labelled(
+            _first_matching(lowered, ORGANS, OTHER_ORGAN),
+            _first_matching(lowered, FINDING_WORDS, SIGNIFICANCES[-1]),
+        ),
+    ).otherwise(labelled(F.lit(OTHER_ORGAN), F.lit(SIGNIFICANCES[-1])))
 
 
 def _header_lookup(word: Column, part: int) -> Column:
@@ -193,12 +208,15 @@ def _section_spans(section: Column) -> Column:
                     _placed(pieces, starts),
                     lambda s: bind(
                         F.lower(s["text"]),
-                        lambda lowered: _span(
-                            s["text"],
-                            part["rest_start"] + s["offset"],
-                            part["cls"],
-                            _first_matching(lowered, ORGANS, OTHER_ORGAN),
-                            _first_matching(lowered, FINDING_WORDS, SIGNIFICANCES[-1]),
+                        lambda lowered: bind(
+                            _labels(lowered),
+                            lambda labels: _span(
+                                s["text"],
+                                part["rest_start"] + s["offset"],
+                                part["cls"],
+                                labels["organ"],
+                                labels["finding"],
+                            ),
                         ),
                     ),
                 ),
