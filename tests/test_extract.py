@@ -1,3 +1,4 @@
+import hashlib
 import re
 from datetime import date, datetime
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import QUERIES
+from checks.extraction import digest, with_digest
 from checks.standins import Data
 from reportlake import schemas
 from reportlake.functions import scalars
@@ -190,3 +192,29 @@ def test_counts_without_texts_move_a_procedure_once_and_no_hash(spark, plan_of):
     moved = re.findall(r"\(\d+\) Exchange\s*\n(?:Input|Output)[^\n]*", plan)
     assert moved and not any(extract.TEXT_HASH in line for line in moved)
     assert not any("patient_id" in line and "performed_seconds" in line for line in moved)
+
+
+def test_distinct_reports_meet_their_encounters_where_they_are(spark, plan_of, tmp_path):
+    keys = [(1, 1, 5, "O"), (1, 1, 5, "O"), (1, 2, 5, "F"), (None, 1, 5, "O"), (2, 3, 5, None)]
+    lines = spark.createDataFrame(
+        [(k, n, s, 9, None, status) for k, n, s, status in keys],
+        "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_shipdate timestamp, l_linestatus string",
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(0, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    reports = Data(spark, str(tmp_path)).table("report")
+    encounters = spark.createDataFrame([(1, 7, "HSP")], "encounter_id long, patient_id long, source string")
+    met = extract.usable_texts(reports).join(encounters.hint("merge"), ["encounter_id", "source"])
+    # reports are gathered once, encounters once
+    assert plan_of(met).count("Exchange hashpartitioning(encounter_id") == 2
+    assert sorted(map(tuple, reports.collect())) == [(1, 1, 5, "HSP", "a"), (1, 2, 5, "PSC", "a"), (2, 3, 5, "PSC", "a")]
+    assert [(r.encounter_id, r.occurrence_no, r.patient_id) for r in met.collect()] == [(1, 1, 7)]
+
+
+def test_digests_move_as_bytes_and_come_out_as_digits(spark):
+    rows = spark.createDataFrame([("é a",), (None,)], "report_text string")
+    moved = rows.withColumns(digest())
+    assert dict(moved.dtypes)["text_md5"] == "binary"
+    wanted = [(hashlib.md5("é a".encode()).hexdigest(), 3), (None, None)]
+    for have in (rows, moved):  # the digest made late, or where the text was read
+        assert [tuple(r) for r in with_digest(have).select("text_md5", "text_chars").collect()] == wanted
