@@ -17,7 +17,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -48,6 +47,57 @@ BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 17
 KEPT = 400_000  # words in each of the two generations of the cache
 
 
+class _Cores(dict):
+    """Ids of words of plain letters, from their UTF-8 in lower case.
+
+    These are normal already, and one token each for the pre-tokenizer, so their byte signs
+    go to the merges as they are.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.merge, self.older = tokenizer.model.tokenize, {}
+
+    def __missing__(self, core: bytes) -> bytes:
+        ids = self.older.get(core)
+        if ids is None:
+            signs = core.decode("latin-1")
+            if not core.isascii():  # letters are their own signs
+                signs = signs.translate(BYTE_SIGNS)
+            found = [t.id for t in self.merge(signs)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[core] = ids
+        return ids
+
+
+class _Words(dict):
+    """Ids of words as they stand; one that is missing is found when it is looked up."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.older = tokenizer, {}
+        self.cores, self.tails = _Cores(tokenizer), {b"": b""}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_TAIL)
+            low = core.lower()
+            simple = low.isalpha() or _SIMPLE.fullmatch(low)
+            if not simple:  # capitals beyond ASCII
+                low = low.decode().lower().encode()
+                simple = _SIMPLE.fullmatch(low)
+            ids = self.cores[low] + self.tail(word[len(core) :]) if simple else self.encode(word.decode())
+        self[word] = ids
+        return ids
+
+    def tail(self, tail: bytes) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self.encode(tail.decode())
+        return self.tails[tail]
+
+
 class WordIds:
     """Ids of words between ASCII blanks as little-endian bytes.
 
@@ -59,58 +109,24 @@ class WordIds:
 
     def __init__(self, path: str, kept: int = KEPT):
         self.kept = kept
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.older_cores: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.words = _Words(Tokenizer.from_file(path))
+        self.cores = self.words.cores
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+    @property
+    def older(self) -> dict[bytes, bytes]:
+        return self.words.older
 
-    def letters(self, cores: Iterable[bytes]) -> None:
-        """Fills the cache for words of plain letters: normal already, and one token each
-        for the pre-tokenizer, so its byte signs go to the merges as they are."""
-        merge, signs = self.tokenizer.model.tokenize, BYTE_SIGNS
-        for core in cores:
-            ids = [t.id for t in merge(core.decode("latin-1").translate(signs))]
-            self.cores[core] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > self.kept:
-            self.older, self.words = self.words, {}
-        if len(self.cores) > self.kept:
-            self.older_cores, self.cores = self.cores, {}
-        lacking = words.difference(self.words)
-        again = lacking.intersection(self.older)
-        self.words.update(zip(again, map(self.older.__getitem__, again)))
-        new = list(lacking - again)
-        cores = [w.rstrip(_TAIL) for w in new]
-        lows = [c.lower() for c in cores]
-        plain = [low.isalpha() or bool(_SIMPLE.fullmatch(low)) for low in lows]
-        for k, simple in enumerate(plain):
-            if not simple:  # capitals beyond ASCII
-                lows[k] = lows[k].decode().lower().encode()
-                plain[k] = bool(_SIMPLE.fullmatch(lows[k]))
-        for word, simple in zip(new, plain):
-            if not simple:
-                self.words[word] = self.encode(word.decode())
-        new, cores, lows = (list(compress(x, plain)) for x in (new, cores, lows))
-        lacking = set(lows).difference(self.cores)
-        again = lacking.intersection(self.older_cores)
-        self.cores.update(zip(again, map(self.older_cores.__getitem__, again)))
-        self.letters(lacking - again)
-        tails = [w[len(c) :] for w, c in zip(new, cores)]
-        for tail in set(tails).difference(self.tails):
-            self.tails[tail] = self.encode(tail.decode())
-        ids = map(bytes.__add__, map(self.cores.__getitem__, lows), map(self.tails.__getitem__, tails))
-        self.words.update(zip(new, ids))
+    @property
+    def older_cores(self) -> dict[bytes, bytes]:
+        return self.cores.older
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for cache in (self.words, self.cores):
+            if len(cache) > self.kept:
+                cache.older = dict(cache)
+                cache.clear()
+        find = self.words.__getitem__
+        return [b"".join(map(find, t.split())) for t in texts]
 
 
 _encoders: dict[tuple[str, int], WordIds] = {}

@@ -86,3 +86,13 @@ def test_many_blocks(spark):
     assert sorted(r.item for r in found) == list(range(2000))
     used = len({r.sequence_id for r in found})
     assert used <= sum(r[4] for r in rows) / 64 * 1.03 + 2
+
+
+def test_a_word_is_merged_once_whatever_its_case_and_signs():
+    encoder = packing.WordIds(public_tokenizers.path(packing.VOCABULARY))
+    merge, merged = encoder.cores.merge, []
+    encoder.cores.merge = lambda signs: merged.append(signs) or merge(signs)
+    texts = [b"Liver, liver LIVER! spleen", "Fígado fÍgado. liver%".encode()]
+    for text, ids in zip(texts, encoder.texts(texts)):
+        assert ids == encoder.words.encode(text.decode())
+    assert len(merged) == 3
