@@ -1,5 +1,6 @@
 import re
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from checks.standins import Data
 from reportlake import schemas
 from reportlake.operators import extract, upsert
 from reportlake.schemas import RUN_DAILY, RUN_REPROCESS
+from reportlake.session import Staging
 from reportlake.sources import sinks, tables
 from reportlake.plans.monitoring import duplicate_keys
 
@@ -322,3 +324,75 @@ def test_files_with_texts_are_packed_closely(spark, database, sides):
     sinks.upsert_reports(spark, sides[1], "testing.packed", RUN_REPROCESS)
     sinks.compact_reports(spark, "testing.packed")
     assert all(".zstd." in name for name in spark.read.table("testing.packed").inputFiles())
+
+
+def names_of(df):
+    return sorted(file.rpartition("/")[2] for file in df.inputFiles())
+
+
+@pytest.mark.parametrize("elsewhere", [False, True])
+def test_rows_are_written_once_by_a_merge_and_a_compaction(spark, database, sides, monkeypatch, elsewhere):
+    table = f"{database}.reports"
+    target, source = sides
+    sinks.upsert_reports(spark, target, table, RUN_REPROCESS)
+    staged, swap = [], sinks._overwrite_months
+
+    def seen(spark, area, name, table):
+        staged.append(names_of(area.read_back(name)))
+        swap(spark, area, name, table)
+
+    monkeypatch.setattr(sinks, "_overwrite_months", seen)
+    if elsewhere:  # a table in another store gets the staged rows by an insert
+        monkeypatch.setattr(Staging, "swap", lambda *_: False)
+    sinks.upsert_reports(spark, source, table, RUN_REPROCESS)
+    assert by_key(spark.read.table(table)) == ALL
+    assert set(staged[0]) <= set(names_of(spark.read.table(table))) or elsewhere
+    sinks.compact_reports(spark, table)
+    assert by_key(spark.read.table(table)) == ALL
+    assert (staged[1] == names_of(spark.read.table(table))) != elsewhere
+    held = {r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+    assert held == {f"year_month={r.year_month}" for r in spark.read.table(table).select("year_month").distinct().collect()}
+
+
+def test_a_swap_that_fails_half_way_loses_no_row(spark, database, sides, monkeypatch):
+    table = f"{database}.reports"
+    target, source = sides
+    sinks.upsert_reports(spark, target, table, RUN_REPROCESS)
+    areas, swap = [], Staging.swap
+
+    def torn(area, name, location):
+        areas.append(area)
+        swap(area, name, location)
+        raise OSError("lost")
+
+    monkeypatch.setattr(Staging, "swap", torn)
+    with pytest.raises(RuntimeError, match="staged rows kept in"):
+        sinks.upsert_reports(spark, source, table, RUN_REPROCESS)
+    root = Path(areas[0].root.removeprefix("file:"))
+    assert root.exists() and list((root / "merged-replaced").rglob("*.parquet"))
+    areas[0].kept = False
+    areas[0].drop()
+
+
+def test_only_rows_with_known_keys_meet_the_table(spark, database, monkeypatch):
+    table, met = f"{database}.reports", []
+    rows = [report(f"k{i:03}", f"2024-0{1 + i % 2}", "old") for i in range(40)]
+    sinks.create_reports(spark.createDataFrame(rows, schemas.REPORTS), table)
+    rule = sinks.merge_all
+
+    def seen(target, source, **options):
+        met.append(source.count())
+        return rule(target, source, **options)
+
+    monkeypatch.setattr(sinks, "merge_all", seen)
+    batch = [report(f"k{i:03}", "2024-02", "new") for i in range(35, 60)]
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            sinks.upsert_reports(spark, spark.createDataFrame(batch, schemas.REPORTS), table, RUN_REPROCESS)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        found = by_key(spark.read.table(table))
+        assert len(found) == 60 == spark.read.table(table).count()
+        assert sorted(k for k, v in found.items() if v[:2] == ("new", "2024-02")) == [f"k{i:03}" for i in range(35, 60)]
+    assert met == [5, 25]
